@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, quality, simhash
+from . import chat, license, line_dedup, mixing, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,25 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.col("places.start")
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        "base_labels",
+        "labels",
+        "score",
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 SQL: dict[str, str] = {}
 
 
