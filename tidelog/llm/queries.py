@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, license, line_dedup, mixing, quality, simhash, suffix_dedup, warc
+from . import chat, decontam, langid, license, line_dedup, mixing, quality, simhash, sql, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,12 +90,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-SQL: dict[str, str] = {}
-
-
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(sql.SQL)
