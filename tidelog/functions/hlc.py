@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.paths import new_root
+
 #: Fixed values of the encoding.
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 MS_WIDTH, COUNTER_WIDTH, NODE_WIDTH = 8, 2, 5
@@ -124,20 +126,23 @@ def parts(text: Column) -> dict[str, Column]:
 
 
 def indexed(rows: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
-    """rows with their place in an order, from 0, and how many there are.
+    """rows with their place in a total order, from 0, and how many there are.
 
-    Rows are range-partitioned and sorted; each partition's count (a number a
-    partition, on the driver) gives its offset. No task sees all rows.
+    Rows are range-partitioned, sorted and written once to the shared folder with
+    their partition and their place in it: sorting again could draw other bounds. A
+    partition's offset comes from the counts, a row a partition, so no task sees all
+    rows.
     """
-    # The sort must be the same when run again: it is written down by the caller's order, which has to be total.
-    placed = rows.orderBy(*order).withColumn("__pid", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id())
-    counts = {r["__pid"]: r["count"] for r in placed.groupBy("__pid").count().collect()}
-    starts, total = {}, 0
-    for pid in sorted(counts):
-        starts[pid] = total
-        total += counts[pid]
-    if not starts:
-        return rows.withColumn(name, F.lit(0).cast("long")), 0
-    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv]), F.col("__pid").cast("long"))
-    inside = F.col("__mono").bitwiseAND((1 << 33) - 1)
-    return placed.withColumn(name, start + inside).drop("__pid", "__mono"), total
+    spark = rows.sparkSession
+    path = new_root(spark, "order")
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__inside", inside).write.parquet(path)
+    placed = spark.read.parquet(path)
+    counts = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
+    starts, total = [], 0
+    for part in sorted(counts):
+        starts.append((part, total))
+        total += counts[part]
+    offsets = spark.createDataFrame(starts, "__part int, __start bigint")
+    out = placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__start") + F.col("__inside"))
+    return out.drop("__part", "__inside", "__start"), total

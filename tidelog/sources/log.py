@@ -9,6 +9,7 @@ rows of lower versions, so a key that was deleted may be inserted again.
 
 from __future__ import annotations
 
+import copy
 import json
 import uuid
 from dataclasses import dataclass, field
@@ -54,6 +55,7 @@ class StreamLog:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.root}/log"))
+        self._seen = State()
 
     # ------------------------------------------------------------ files
     def _read(self, path: str) -> str:
@@ -78,9 +80,12 @@ class StreamLog:
 
     # ------------------------------------------------------------ commits
     def state(self) -> State:
+        """The last commit's state; commits that were read before are not read again."""
+        known, state = f"{self._seen.version:010d}.json", copy.deepcopy(self._seen)
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/log")))
-        state = State()
         for name in names:
+            if name <= known:
+                continue
             c = json.loads(self._read(f"{self.root}/log/{name}"))
             state.version = c["version"]
             state.source, state.hashes = c.get("source", state.source), c.get("hashes", state.hashes)
@@ -91,6 +96,7 @@ class StreamLog:
             for kind, into in (("add", state.tables), ("remove", state.tombstones)):
                 for table, s in c.get(kind, []):
                     into.setdefault(table, []).append(Segment(**s))
+        self._seen = copy.deepcopy(state)
         return state
 
     def commit(self, after: State, **parts: object) -> int:
