@@ -37,7 +37,7 @@ from .common import materialize, row_key
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.8
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 _FIRST_SEARCH = 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _WORD = re.compile(r"\w+")

@@ -7,7 +7,8 @@ are linear, a bucket's embedding times the layer is tabulated once, and a text o
 any length is scored whole by summing table rows.
 
 The training sample is bounded: at most ROWS_PER_LANG labelled rows a language,
-chosen by a hash, and at most TRAIN_CHARS characters of each, cut at a hashed place.
+chosen by a hash and MAX_ROWS over all languages, and at most TRAIN_CHARS characters
+of each, cut at a hashed place.
 A fifth of the sample is kept from training to calibrate: a temperature for the
 scores, and the least score at which predictions are right often enough; those
 below are not `accepted`.
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 ROWS_PER_LANG = 500
+MAX_ROWS = 20_000
 TRAIN_CHARS = 2_000
 BUCKETS = 1 << 16
 DIMENSIONS = 8
@@ -175,6 +177,7 @@ def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: st
     counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col)).count().collect()}
     if not counts:
         return []
+    rows = max(1, min(rows, MAX_ROWS // len(counts)))
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.lit(0.0)
     for lang, n in counts.items():
