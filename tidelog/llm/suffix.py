@@ -76,11 +76,11 @@ class Block:
 
         out = []
         for code in range(257):
-            scanned = 0
-            while scanned < len(induced[code]):  # the bucket grows while it is scanned
-                induce(induced[code][scanned])
-                scanned += 1
-            out += induced[code]
+            while induced[code]:  # the bucket grows while it is scanned
+                scanned = np.concatenate(induced[code])
+                induced[code] = []
+                induce(scanned)
+                out.append(scanned)
             own = direct[bounds[code] : bounds[code + 1]]
             if len(own):
                 induce(own)

@@ -10,7 +10,7 @@ LENGTH bytes would multiply the text. The work is dealt so that equal strings me
 3. Their fragments (a run's starts and LENGTH - 1 bytes more) are grouped by key and
    suffix-sorted in bounded blocks by :mod:`.suffix`; neighbours with a common prefix
    of LENGTH bytes are repeats. Equal fragments are merged first.
-4. A key with more bytes than GROUP_BYTES is split by fragment content. Its blocks are
+4. A key with more bytes than GROUP_BYTES is dealt to several blocks. Its blocks are
    sorted on their own, and one digest a distinct string tells repeats across the
    blocks of a split key apart from single strings.
 5. Marked starts return to their documents as intervals.
@@ -41,8 +41,8 @@ from .suffix import Block
 LENGTH = 400
 GRAM = 128
 RUN_STARTS = 1024
-BLOCK_BYTES = 1 << 20
-GROUP_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
+GROUP_BYTES = 1 << 19
 _SCAN_BYTES = 1 << 17
 #: Fixed values of the rolling hash: an odd base with its inverse modulo 2**64, and mixing multipliers.
 _BASE = 0x9E3779B97F4A7C15
@@ -55,7 +55,9 @@ def _power(base: int, n: int) -> np.ndarray:
     known = _powers.get(base)
     if known is None or len(known) < n:
         with np.errstate(over="ignore"):
-            known = np.cumprod(np.concatenate([[1], np.full(n, base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            known = np.full(n + 1, base, np.uint64)
+            known[0] = 1
+            known = np.cumprod(known, dtype=np.uint64)
         _powers[base] = known
     return known[:n]
 
@@ -84,65 +86,88 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - have)], values[width - have :]) if have < width else values
 
 
-def runs(text: bytes, length: int = LENGTH, gram: int = GRAM, run_starts: int = RUN_STARTS) -> list[tuple[np.ndarray, ...]]:
-    """Chunks of arrays (key, start, starts, occurrences): the runs of one key, at most run_starts long.
+def runs(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM, run_starts: int = RUN_STARTS) -> tuple[np.ndarray, ...]:
+    """Arrays (piece, key, start, starts, occurrences): the runs of one key in each piece, at most run_starts long.
 
-    occurrences is 2 where the key's gram stands in the run's bytes more than once.
+    Pieces have at least `length` bytes; they are scanned as one buffer, of which only
+    strings inside a piece count. occurrences is 2 where the key's gram stands in the
+    run's bytes more than once.
     """
     width = length - gram + 1
-    out = []
-    data = np.frombuffer(text, np.uint8)
-    for at in range(0, len(data) - length + 1, _SCAN_BYTES):
-        part = data[at : at + _SCAN_BYTES + length - 1]
-        hashes = gram_hashes(part, gram)
-        least = _sliding(hashes, width, np.minimum)
-        edges = np.flatnonzero(np.diff(least) != 0) + 1
-        first = np.concatenate([[0], edges])
-        count = np.diff(np.concatenate([first, [len(least)]]))
-        # where a gram is the least of some window
-        top = _sliding(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
-        chosen = np.flatnonzero(hashes == top)
-        value, which = np.unique(hashes[chosen], return_inverse=True)
-        n = len(hashes) + 1
-        placed = np.sort(which * n + chosen)
-        of = np.searchsorted(value, least[first]) * n
-        found = np.searchsorted(placed, of + first)
-        second = np.minimum(found + 1, len(placed) - 1)
-        many = (found + 1 < len(placed)) & (placed[second] <= of + first + count - 1 + width - 1)
-        occurrences = np.where(many, 2, 1)
-        if (count > run_starts).any():
-            pieces = -(-count // run_starts)
-            which = np.repeat(np.arange(len(first)), pieces)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            count = np.minimum(run_starts, count[which] - nth * run_starts)
-            first, occurrences = first[which] + nth * run_starts, occurrences[which]
-        out.append((least[first].view(np.int64), first + at, count, occurrences))
-    return out
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(x) for x in pieces], np.int64)
+    base = np.cumsum(sizes) - sizes
+    hashes = gram_hashes(data, gram)
+    least = _sliding(hashes, width, np.minimum)
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[base] += 1
+    edges[base + sizes - length + 1] -= 1
+    valid = np.cumsum(edges[: len(least)], dtype=np.int8) > 0
+    least[~valid] = 0
+    starts = np.flatnonzero(valid)
+    value = least[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (value[1:] != value[:-1]) | (starts[1:] != starts[:-1] + 1)
+    head = np.flatnonzero(new)
+    first, key = starts[head], value[head]
+    count = np.diff(np.append(head, len(starts)))
+    # where a gram is the least of some string
+    edge = np.zeros(width - 1, np.uint64)
+    chosen = np.flatnonzero(hashes == _sliding(np.concatenate([edge, least, edge]), width, np.maximum))
+    values, which = np.unique(hashes[chosen], return_inverse=True)
+    n = len(hashes) + 1
+    placed = np.sort(which * n + chosen)
+    of = np.searchsorted(values, key) * n
+    second = np.searchsorted(placed, of + first) + 1
+    many = (second < len(placed)) & (placed[np.minimum(second, len(placed) - 1)] <= of + first + count - 1 + width - 1)
+    occurrences = np.where(many, 2, 1)
+    if (count > run_starts).any():
+        parts = -(-count // run_starts)
+        of_run = np.repeat(np.arange(len(first)), parts)
+        nth = np.arange(len(of_run)) - np.repeat(np.cumsum(parts) - parts, parts)
+        count = np.minimum(run_starts, count[of_run] - nth * run_starts)
+        first, key, occurrences = first[of_run] + nth * run_starts, key[of_run], occurrences[of_run]
+    piece = np.searchsorted(base, first, "right") - 1
+    return piece, key.view(np.int64), first - base[piece], count, occurrences
 
 
 def _run_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    names = ["key", "id", "row", "start", "starts", "occurrences"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, parts = [], []
+            held: list[tuple[int, int, bytes]] = []  # row of the batch, offset in its text, bytes
+            size = 0
+
+            def scanned(held: list, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                piece, key, start, count, occurrences = runs([h[2] for h in held], length, gram)
+                at = pa.array(np.array([h[0] for h in held])[piece])
+                start = start + np.array([h[1] for h in held])[piece]
+                columns = [pa.array(key), batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(count.astype(np.int32)), pa.array(occurrences.astype(np.int32))]
+                return pa.RecordBatch.from_arrays(columns, names)
+
             for i, value in enumerate(batch.column(2)):
-                for part in runs(value.as_py(), length, gram):
-                    owners.append(np.full(len(part[0]), i))
-                    parts.append(part)
-            if parts:
-                at = pa.array(np.concatenate(owners))
-                key, start, count, occurrences = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(count.astype(np.int32)), pa.array(occurrences.astype(np.int32))], ["key", "id", "row", "start", "starts", "occurrences"])
+                text = value.as_py()
+                for at in range(0, len(text) - length + 1, _SCAN_BYTES):
+                    held.append((i, at, text[at : at + _SCAN_BYTES + length - 1]))
+                    size += len(held[-1][2])
+                    if size >= _SCAN_BYTES:
+                        yield scanned(held)
+                        held, size = [], 0
+            if held:
+                yield scanned(held)
 
     long_enough = rows.where(F.octet_length("body") >= length)
     return long_enough.mapInArrow(run, f"key bigint, id {dict(rows.dtypes)['id']}, row bigint, start bigint, starts int, occurrences int")
 
 
 def _fragments(joined: DataFrame, length: int) -> DataFrame:
-    """A row a run with its bytes; a split key's runs are dealt by content."""
+    """A row a run with its bytes; a split key's runs are dealt by their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners, keys, parts, splits, starts, counts, pieces, size = [], [], [], [], [], [], [], 0
+            rows_of = batch.column(1).to_pylist()
 
             def flush(batch=batch) -> pa.RecordBatch:
                 at = pa.array(owners, pa.int64())
@@ -156,7 +181,7 @@ def _fragments(joined: DataFrame, length: int) -> DataFrame:
                     owners.append(i)
                     keys.append(r["key"])
                     splits.append(r["parts"] > 1)
-                    parts.append(int.from_bytes(hashlib.blake2b(piece, digest_size=4).digest(), "little") % r["parts"] if r["parts"] > 1 else 0)
+                    parts.append(hash((rows_of[i], r["start"])) % r["parts"] if r["parts"] > 1 else 0)
                     starts.append(r["start"])
                     counts.append(r["starts"])
                     pieces.append(piece)
@@ -204,14 +229,15 @@ def _marks(fragments: DataFrame, length: int, block_bytes: int) -> DataFrame:
         """Whole groups (key, part), as many as fit a block."""
         held, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != last:
-                    if size >= block_bytes:
-                        yield held
-                        held, size = [], 0
-                    last = row[:2]
-                held.append(row)
-                size += len(row[7])
+            for at in range(0, batch.num_rows, 1000):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
+                    if row[:2] != last:
+                        if size >= block_bytes:
+                            yield held
+                            held, size = [], 0
+                        last = row[:2]
+                    held.append(row)
+                    size += len(row[7])
         if held:
             yield held
 
