@@ -59,6 +59,8 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .agg(F.max("doc").alias("last"), F.count_distinct(F.struct("doc", "row")).alias("documents"))
         .where(F.col("documents") >= min_docs)
     )
+    # as a table of its own the join has an exchange on both sides, so a hot key's rows are split
+    shared = materialize(shared.select("h1", "h2", "last"), "shared-lines")
     dropped = index.join(shared, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("last")))
     return _bitmaps(dropped)
 
