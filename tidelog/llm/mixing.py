@@ -30,6 +30,8 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,6 @@ SHARE = 1.5
 CAP = 2
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-BUCKET_ROWS = 20_000
 SEED = "mix"
 #: Prime multipliers of the permutations; their product is above any number of blocks.
 PRIMES = (1_000_000_007, 998_244_353, 2_147_483_647, 1_000_000_009)
@@ -105,9 +106,9 @@ def slot_table(quota: DataFrame, *, seed: str = SEED, shard_slots: int = SHARD_S
     return known.select("shard", "rank", epoch.alias("epoch"), _permuted(k, epoch, F.col("blocks"), F.col("rank"), seed).alias("block"))
 
 
-def packed(sizes: DataFrame, *, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def packed(sizes: DataFrame, *, seed: str = SEED) -> DataFrame:
     """sizes (id, row, rank, size) with the offset of each document in its source's stream of words."""
-    buckets = max(1, -(-sizes.count() // bucket_rows))
+    buckets = max(1, math.isqrt(sizes.count()))  # as many buckets as rows in one: both levels stay small
     order = F.xxhash64(F.lit(seed), "id", "row")
     dealt = sizes.withColumns({"order": order, "bucket": F.pmod(order, F.lit(buckets))})
     sums = dealt.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
