@@ -126,6 +126,8 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     by_print = linked.join(least, "root").select(F.col("fp").alias("linked_fp"), "component")
     named = distinct.join(by_print, distinct["fp"] == by_print["linked_fp"], "left")
     named = named.select(F.col("fp").alias("of"), F.when(F.col("linked_fp").isNull(), F.col("least_id")).otherwise(F.col("component")).alias("component"))
+    # as a table of its own the join has an exchange on both sides, so a group of copies is split
+    named = materialize(named, "fingerprint-components")
     return prints.join(named, prints["fp"] == named["of"]).select("id", "row", "fp", "component")
 
 
