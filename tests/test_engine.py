@@ -122,6 +122,22 @@ def test_migration_is_append_only_and_survives_a_restart(spark):
         Engine(spark, root, 7).migrate("s", "CREATE STREAM s (a BIGINT); " + more)
 
 
+def test_streams_are_loaded_from_their_logs(spark):
+    root = new_root(spark, "load")
+    one = Engine(spark, root, 7, lambda: NOW)
+    one.ddl("CREATE STREAM a (x INT); CREATE STREAM b (y INT) -- two streams\n; ALTER STREAM a ADD COLUMN z INT DEFAULT 2")
+    one.execute("INSERT INTO a (x) VALUES (1)")
+    two = Engine(spark, root, 7, lambda: NOW)
+    with pytest.raises(AnalysisError):
+        two.ddl("CREATE STREAM a (x INT)")
+    assert [c.name for c in two.load("a").columns] == ["x", "z"] and [c.name for c in two.load("b").columns] == ["y"]
+    two.ddl("ALTER STREAM a ADD COLUMN w INT OPTIONAL")
+    assert len(two.migration_history("a").collect()) == 3
+    assert two.stream("a").select("x", "z", "w").first()[:] == (1, 2, None)
+    with pytest.raises(AnalysisError):
+        two.load("nope")
+
+
 def test_one_writer_wins_a_version(spark):
     log = StreamLog(spark, new_root(spark, "log"))
     state = log.state()

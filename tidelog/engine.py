@@ -18,7 +18,7 @@ from .lang import ast, semantics
 from .lang.ast import DataType
 from .lang.errors import AnalysisError, ConstraintError, Issue, MigrationError
 from .lang.hashing import statement_hash
-from .lang.parser import parse
+from .lang.parser import parse, parse_with_text
 from .operators import core
 from .plans.compiler import Compiler
 from .plans.types import cast, spark_type
@@ -64,16 +64,26 @@ class Engine:
     # ------------------------------------------------------------ schema
     def ddl(self, source: str) -> Catalog:
         """Apply schema statements, all or none."""
-        statements = parse(source)
-        catalog = semantics.apply_ddl(self.catalog, statements)
-        for name in dict.fromkeys(s.name for s in statements):
-            new, state = [s for s in statements if s.name == name], self.log(name).state()
+        statements = parse_with_text(source)
+        catalog = semantics.apply_ddl(self.catalog, [s for s, _ in statements])
+        for name in dict.fromkeys(s.name for s, _ in statements):
+            new, state = [(s, text) for s, text in statements if s.name == name], self.log(name).state()
             if not self.catalog.get(name) and state.hashes:
                 raise AnalysisError([Issue("DuplicateStream", name)])
-            self._commit_schema(catalog.get(name), self.catalog.get(name), new, state, state.source + source.strip().rstrip(";") + ";\n" if len({s.name for s in statements}) == 1 else "")
+            history = state.source + "".join(f"{text};\n" for _, text in new)
+            self._commit_schema(catalog.get(name), self.catalog.get(name), [s for s, _ in new], state, history)
         self.catalog = catalog
         return catalog
 
+    def load(self, stream: str) -> StreamSchema:
+        """Put a stored stream into the catalog, from the history in its log."""
+        state = self.log(stream).state()
+        if not state.hashes:
+            raise AnalysisError([Issue("UnknownStream", stream)])
+        schema, _, _ = semantics.replay(stream, state.source, state.hashes)
+        self.catalog = self.catalog.put(schema)
+        return schema
+
     def migrate(self, stream: str, source: str) -> list[str]:
         """Bring a stream to its whole history; returns the hashes. Applied statements must be its prefix."""
         if self.catalog.get(stream):
