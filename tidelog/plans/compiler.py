@@ -107,7 +107,7 @@ class Compiler:
         if e.op in _REGEX:
             return self._regex(e.op, a, b)
         if e.op in _JSON:
-            return self._member(e.op, a, b)
+            return self._member(e.op, a, b, e.right)
         if e.op in ("@>", "<@"):
             a, b = (a, b) if e.op == "@>" else (b, a)
             return Typed(json_ops.contains(a.column, b.column), BOOLEAN)
@@ -194,7 +194,7 @@ class Compiler:
         found = F.rlike(a.column, pattern)
         return Typed(~found if negated else found, BOOLEAN)
 
-    def _member(self, op: str, a: Typed, b: Typed) -> Typed:
+    def _member(self, op: str, a: Typed, b: Typed, right: ast.Expr) -> Typed:
         kind = TEXT if _JSON[op] else a.type if a.kind in ("json", "jsonb") else DataType("json")
         if op.startswith("#"):
             if b.text is None:
@@ -204,6 +204,8 @@ class Compiler:
         if b.text is not None:
             return Typed(json_ops.get(a.column, [b.text], as_text=_JSON[op]), kind)
         index = b.kind in INTS
+        if index and isinstance(right, ast.Literal):
+            return Typed(json_ops.get(a.column, [int(right.text)], as_text=_JSON[op]), kind)
         return Typed(json_ops.get_dynamic(a.column, F.array(b.column.cast("string")), as_text=_JSON[op], indexes=[index]), kind)
 
     def _cast(self, e: ast.Cast) -> Typed:
