@@ -12,7 +12,7 @@ from tidelog.llm.common import materialize
 
 from .test_lines_and_quality import brute_lines
 from .test_mixing import brute_targets
-from .test_simhash import brute_groups, brute_print
+from .test_near_copies import brute_kept
 
 
 def test_every_stage_against_brute_force(spark):
@@ -36,9 +36,7 @@ def test_every_stage_against_brute_force(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in after)
 
     before, after = seen["near_dedup"]
-    before = sorted(before, key=lambda r: r["doc_id"])
-    roots = brute_groups([brute_print(r["text"]) for r in before])
-    assert {r["doc_id"] for r in after} == {before[x]["doc_id"] for x in roots}
+    assert {r["doc_id"] for r in after} == brute_kept([(r["doc_id"], r["text"]) for r in before])
 
     before, after = seen["decontamination"]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -13,9 +13,9 @@ from tidelog.llm.components import components
 from .conftest import AWKWARD, prose
 
 
-def brute_print(text):
+def brute_print(text, width=3):
     words = (text or "").encode().lower().split()
-    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    shingles = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([b" ".join(words)] if words else [])
     hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
