@@ -109,12 +109,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of every document with a near copy; node is (id, row), root the least of its component."""
     body = _body(text_col)
-    texts = docs.select(F.struct(F.col(id_col).alias("id"), row_key(body).alias("row")).alias("node"), body.alias("text")).dropDuplicates(["node"])
-    sketches = materialize(_sketches(texts, shingle), "sketches")
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), row_key(body).alias("row")).alias("node"), body.alias("text"))
+    # repeated rows are merged here and below, so that no whole text is moved for it
+    sketches = materialize(_sketches(texts, shingle).dropDuplicates(["node"]), "sketches")
     postings = sketches.select("node", "n", F.posexplode("keys").alias("band", "key"))
     pivots = postings.groupBy("band", "key").agg(F.min_by("node", F.xxhash64("band", "node")).alias("pivot"), F.count("*").alias("members"))
     met = materialize(postings.join(pivots.where("members > 1").drop("members"), ["band", "key"]), "band-members")
 
+    # only texts that share a key with another are compared
+    asked = materialize(met.select(F.col("node").alias("of")).distinct(), "asked-nodes")
+    texts = texts.join(asked, texts["node"] == asked["of"], "left_semi").dropDuplicates(["node"])
+    texts = materialize(texts, "asked-texts")
+
     def both(a: Column, b: Column) -> list[Column]:
         return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
