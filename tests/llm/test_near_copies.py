@@ -89,3 +89,41 @@ def test_test_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"] for r in near_copies.keep_one(docs).collect()}
     assert got == brute_kept([tuple(r) for r in docs.collect()])
+
+
+def grouped_kept(rows: list[tuple[int, str | None]]) -> set[int]:
+    """All texts, linked by fingerprints two bits apart or by whole sets; the least id of each group."""
+    rows = sorted(rows, key=lambda r: r[0])
+    prints, sets = [brute_print(t, near_copies.SHINGLE) for _, t in rows], [brute_sets(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 2 or (a and len(a & sets[j]) >= near_copies.SIMILARITY * len(a | sets[j]))
+            if near and (x := find(i)) != (y := find(j)):
+                root[max(x, y)] = min(x, y)
+    return {rows[i][0] for i in range(len(rows)) if root[i] == i}
+
+
+def test_links_run_through_texts_that_fingerprints_would_drop(spark):
+    rows, cut = [], 0
+    for seed in range(12):
+        rng = random.Random(seed)
+        words = [f"w{seed}x{i}" for i in range(2000)]
+        family = [" ".join(words)]
+        spots = rng.sample(range(0, 2000, 8), 54)
+        for changes in (*[1] * 12, 42):
+            for at in [spots.pop() for _ in range(changes)]:
+                words[at] = f"new{rng.random()}"
+            family.append(" ".join(words))
+        family = [(100 * seed + i, t) for i, t in enumerate(family)]
+        cut += len(brute_kept(family)) - len(grouped_kept(family))
+        rows += family
+    rows += [(2001, rows[0][1]), (2000, None), (2002, "")]
+    got = {r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert cut > 0 and got == grouped_kept(rows)

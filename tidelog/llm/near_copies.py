@@ -2,23 +2,24 @@
 
 Two texts that share 80 % of their five-word shingles differ in about ten bits of a
 64-bit fingerprint, so at least 8 - 10 < 0 of its bytes agree: the byte-position
-index of :mod:`simhash` guarantees nothing there. It is used first, for copies at
-most two bits apart; the documents it leaves are then compared on minhash bands:
+index of :mod:`simhash` guarantees nothing there. Its pairs, at most two bits apart,
+are links of one kind; minhash bands give those of the other. No text leaves before
+both are joined in components:
 
 1. A document has BANDS keys of ROWS minimal hashes each. A pair of Jaccard
    similarity s shares no key with probability (1 - s**ROWS)**BANDS, below 1e-4 at 0.8.
-2. Members of a key are verified on their whole shingle sets against one member, a
-   different one in each band, and the verified pairs give components. That is one
-   pair a member and key, however large the group.
+2. In each key one member of every component of the fingerprint links is verified on
+   its whole shingle set against one of the largest component, other members in each
+   band, and the verified pairs are links. That is one pair a component and key.
 3. Pairs of a key whose components still differ, and whose sizes allow the
    similarity, are verified as well. No candidate is left out: pairs of one
    component would change nothing.
 
 Defined results
 ---------------
-* null or empty text: no shingles, linked to nothing here (the fingerprints link them).
+* null or empty text: no shingles, so no keys; the fingerprints link them.
 * fewer words than a shingle: the whole sequence is one shingle.
-* a document that the fingerprints removed links nothing on; the one that stands for it does.
+* a fingerprint link is not verified on shingles; its texts are compared like all others.
 * the document of the least (id, hash of the text) of a component stays; a null id is
   smaller than any other. Rows equal in id and text stay or go together.
 * an empty table gives an empty result; other columns are kept, whatever their names.
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import materialize, row_key
+from .common import hash_pair, materialize, row_key
 from .components import components
 from .decontam import rolling
 
@@ -106,40 +107,80 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return met.select("a", "b", "left", "right").mapInArrow(run, f"a {node}, b {node}")
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of every document with a near copy; node is (id, row), root the least of its component."""
-    body = _body(text_col)
-    texts = docs.select(F.struct(F.col(id_col).alias("id"), row_key(body).alias("row")).alias("node"), body.alias("text"))
-    # repeated rows are merged here and below, so that no whole text is moved for it
-    sketches = materialize(_sketches(texts, shingle).dropDuplicates(["node"]), "sketches")
-    postings = sketches.select("node", "n", F.posexplode("keys").alias("band", "key"))
-    pivots = postings.groupBy("band", "key").agg(F.min_by("node", F.xxhash64("band", "node")).alias("pivot"), F.count("*").alias("members"))
-    met = materialize(postings.join(pivots.where("members > 1").drop("members"), ["band", "key"]), "band-members")
+def _joined(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (node, ...) of docs whose node is one of nodes."""
+    of = nodes.select(F.col("node").alias("of"))
+    return docs.join(of, docs["node"] == of["of"], "left_semi")
+
+
+def _fingerprinted(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, root) of every node: the least node among those that fingerprints connect."""
+    prints = simhash.fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle)
+    prints = prints.select(F.struct("id", "row").alias("node"), "fp").distinct()
+    prints = materialize(_joined(prints, nodes), "node-fingerprints")
+    roots = components(simhash.links(prints.select("fp").distinct())).select(F.col("node").alias("of"), F.col("root").alias("group"))
+    prints = prints.join(roots, prints["fp"] == roots["of"], "left").select("node", F.coalesce("group", "fp").alias("group"))
+    prints = materialize(prints, "fingerprint-groups")
+    # as a table of its own the join has an exchange on both sides, so a large group is split
+    least = materialize(prints.groupBy("group").agg(F.min("node").alias("root")), "fingerprint-roots")
+    return materialize(prints.join(least, "group").select("node", "root"), "node-roots")
+
 
-    # only texts that share a key with another are compared
-    asked = materialize(met.select(F.col("node").alias("of")).distinct(), "asked-nodes")
-    texts = texts.join(asked, texts["node"] == asked["of"], "left_semi").dropDuplicates(["node"])
-    texts = materialize(texts, "asked-texts")
+def _both(a: Column, b: Column) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
-    def both(a: Column, b: Column) -> list[Column]:
-        return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
-    first = materialize(met.where("node != pivot").select(*both(F.col("node"), F.col("pivot"))).distinct(), "pivot-pairs")
+def near_copies(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of every node with a near copy; a node is (id, row), root the least of its component."""
+    named = _fingerprinted(docs, nodes, id_col, text_col, shingle)
+    stars = named.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    body = _body(text_col)
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), row_key(body).alias("row")).alias("node"), body.alias("text"))
+    # repeated rows are merged here and below, so that no whole text is moved for it
+    sketches = _sketches(texts, shingle).dropDuplicates(["node"]).join(named, "node")
+    sketches = materialize(sketches, "sketches")
+    postings = sketches.select("node", "root", "n", F.posexplode("keys").alias("band", "key"))
+    mark = F.xxhash64("root")
+    mixed = postings.groupBy("band", "key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("band", "key")
+    met = materialize(postings.join(mixed, ["band", "key"]), "band-members")
+
+    # only texts that share a key with one of another component are compared
+    asked = materialize(met.select("node").distinct(), "asked-nodes")
+    texts = materialize(_joined(texts, asked).dropDuplicates(["node"]), "asked-texts")
+
+    # one member a component and key, against one of the key's largest component
+    reps = met.groupBy("band", "key", "root").agg(F.min_by("node", F.xxhash64("band", "node")).alias("node"), F.count("*").alias("members"))
+    reps = materialize(reps, "band-components")
+    pivots = reps.groupBy("band", "key").agg(F.max_by("node", F.struct("members", "root")).alias("pivot"))
+    first = reps.join(pivots, ["band", "key"]).where("node != pivot").select(*_both(F.col("node"), F.col("pivot"))).distinct()
+    first = materialize(first, "pivot-pairs")
     linked = materialize(_verified(first, texts, shingle, similarity), "pivot-links")
-    roots = components(linked).withColumnRenamed("node", "of")
-    named = met.join(roots, met["node"] == roots["of"], "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("root"))
+
+    # then all pairs of components that still differ; one of the two is not in the key's largest
+    edges = stars.union(linked)
+    roots = components(edges).select(F.col("node").alias("of"), F.col("root").alias("now"))
+    named = met.join(roots, met["node"] == roots["of"], "left").select("band", "key", "node", "n", F.coalesce("now", "root").alias("root"))
     named = materialize(named, "band-roots")
+    sizes = named.groupBy("band", "key", "root").agg(F.count("*").alias("members"))
+    tops = sizes.groupBy("band", "key").agg(F.max_by("root", F.struct("members", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    left = materialize(named.join(tops.drop("roots"), ["band", "key"]).where("root != top").drop("top"), "band-rest")
     other = named.select("band", "key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    sizes = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
-    rest = named.join(other, ["band", "key"]).where((F.col("root") < F.col("root2")) & sizes).select(*both(F.col("node"), F.col("node2"))).distinct()
+    alike = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
+    rest = left.join(other, ["band", "key"]).where((F.col("root") != F.col("root2")) & alike).select(*_both(F.col("node"), F.col("node2"))).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "other-pairs")
-    return components(linked.union(_verified(rest, texts, shingle, similarity)))
+    return components(edges.union(_verified(rest, texts, shingle, similarity)))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near copies, same columns: fingerprints first, then whole shingle sets."""
-    left = materialize(simhash.keep_one(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprint-kept")
-    copies = near_copies(left, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity).where("node != root")
-    copies = materialize(copies.select(F.col("node.id").alias("__id"), F.col("node.row").alias("__row")), "near-copies")
-    keyed = left.withColumn("__key", row_key(_body(text_col)))
-    return keyed.join(copies, keyed[id_col].eqNullSafe(copies["__id"]) & (keyed["__key"] == copies["__row"]), "left_anti").select(*docs.columns)
+    """One document of each group of near copies, same columns."""
+    body = _body(text_col)
+    row, second = hash_pair(body)
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), row_key(body).alias("row")).alias("node"), row.alias("first"), second.alias("second"))
+    # equal texts are one node, named by the least id
+    nodes = materialize(rows.groupBy("first", "second").agg(F.min("node").alias("node")).select("node"), "distinct-texts")
+    copies = near_copies(docs, nodes, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
+    copies = materialize(copies.where("node != root").select(F.col("node").alias("of")), "near-copies")
+    kept = nodes.join(copies, nodes["node"] == copies["of"], "left_anti").select(F.col("node.id").alias("__id"), F.col("node.row").alias("__row"))
+    kept = materialize(kept, "near-kept")
+    keyed = docs.withColumn("__key", row_key(body))
+    return keyed.join(kept, keyed[id_col].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__row"]), "left_semi").select(*docs.columns)
