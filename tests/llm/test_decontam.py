@@ -80,3 +80,20 @@ def test_hashes_depend_on_numbers_alone():
     ids = np.array([1, 2, 3, 1, 2, 3, 4], np.uint64)
     hashes = decontam.rolling(ids, 3).tolist()
     assert hashes[0] == hashes[3] and len(set(hashes)) == 4
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_tiling_equals_greedy_string_tiling(seed):
+    draw = random.Random(seed)
+    item = prose(seed, 60).split()
+    pieces = [item[a : a + draw.randint(3, 30)] for a in (draw.randrange(50) for _ in range(5))]
+    text = [w for p in pieces for w in (*p, *prose(draw.randrange(999), 6).split())]
+    assert coverage(" ".join(text), " ".join(item)) == brute_tiling(text, item, 5) / len(item)
+
+
+def test_pieces_that_share_a_border_word():
+    item = [f"w{i}" for i in range(16)]
+    assert coverage(" ".join([*item[6:13], "x", *item[:7]]), " ".join(item)) == 13 / 16
+    item = [f"w{i}" for i in range(31)]
+    pieces = [[*item[a : a + 7], "x"] for a in (24, 18, 12, 6, 0)]
+    assert coverage(" ".join(w for p in pieces for w in p), " ".join(item)) == 1.0

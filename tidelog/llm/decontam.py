@@ -2,8 +2,9 @@
 
 Documents and benchmark items are joined on shared seeds, runs of MIN_MATCH words;
 for each pair that shares one, matches are tiled greedily: running Karp-Rabin hashes
-find matches of a search length, the longest non-overlapping ones are marked, and
-the search length falls until MIN_MATCH. The marked share of the item's words is
+find matches of a search length, the longest non-overlapping ones are marked, what
+a tile leaves free of a match is queued again by its length, and the search length
+falls until MIN_MATCH. The marked share of the item's words is
 its coverage. Tiles may stand in any order, so a passage that was cut up and
 reordered is found as well.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +68,11 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
 
 def tile(text: np.ndarray, item: np.ndarray, starts: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Tiles (start in text, start in item, length); starts: where in text a match may begin or go on."""
-    marked_text, marked_item = set(), np.zeros(len(item), bool)
+    marked_text, marked_item = bytearray(len(text)), bytearray(len(item))
     tiles: list[tuple[int, int, int]] = []
     search = max(min_match, min(_FIRST_SEARCH, len(item)))
     while True:
-        free = np.concatenate([[0], np.cumsum(marked_item)])
+        free = np.concatenate([[0], np.cumsum(np.frombuffer(marked_item, np.uint8), dtype=np.int64)])
         at_item = defaultdict(list)
         for j, h in enumerate(rolling(item, search).tolist()):
             if free[j + search] == free[j]:
@@ -80,7 +82,7 @@ def tile(text: np.ndarray, item: np.ndarray, starts: np.ndarray, min_match: int)
         for i, h in zip(inside.tolist(), _hashes_at(text, inside, search), strict=True):
             for j in at_item.get(h, ()):
                 k = 0
-                while i + k < len(text) and j + k < len(item) and text[i + k] == item[j + k] and not marked_item[j + k] and i + k not in marked_text:
+                while i + k < len(text) and j + k < len(item) and text[i + k] == item[j + k] and not marked_item[j + k] and not marked_text[i + k]:
                     k += 1
                 if k >= search:
                     found.append((-k, i, j))
@@ -88,16 +90,27 @@ def tile(text: np.ndarray, item: np.ndarray, starts: np.ndarray, min_match: int)
         if longest > 2 * search:
             search = longest  # a very long match: look for those alone first
             continue
-        for k, i, j in sorted(found):
-            if not marked_item[j : j - k].any() and not any(x in marked_text for x in range(i, i - k)):
-                marked_item[j : j - k] = True
-                marked_text.update(range(i, i - k))
-                tiles.append((i, j, -k))
+        heapify(found)
+        while found:
+            k, i, j = heappop(found)
+            left = min(_free(marked_text, i, -k), _free(marked_item, j, -k))
+            if left < -k:  # its tail is taken; its head waits among the matches of its length
+                if left >= search:
+                    heappush(found, (-left, i, j))
+                continue
+            marked_item[j : j - k] = marked_text[i : i - k] = b"\1" * -k
+            tiles.append((i, j, -k))
         if search <= min_match:
             return tiles
         search = max(min_match, search // 2)
 
 
+def _free(marked: bytearray, at: int, n: int) -> int:
+    """How many of the n places from at on are free before the first marked one."""
+    end = marked.find(1, at, at + n)
+    return n if end < 0 else end - at
+
+
 def _hashes_at(text: np.ndarray, at: np.ndarray, n: int) -> list[int]:
     out = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
