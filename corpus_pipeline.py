@@ -14,15 +14,18 @@ from tidelog.llm import decontam, line_dedup, mixing, near_copies, quality
 from tidelog.llm.common import materialize
 
 
+def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.keep_documents(docs)
+    """Documents that the quality rules reject go, and of the others the lines above a host's limit; n_chars follows the text."""
+    return _counted(quality.keep_documents(docs), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least three documents share go, all but the last document's; n_chars follows the text."""
-    out = line_dedup.clean_documents(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return _counted(line_dedup.clean_documents(docs), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,3 +117,18 @@ def test_native_plan(documents):
 def test_hash_of_kept_lines_is_of_utf8(documents):
     out = line_dedup.dedup_lines(documents([(1, "é\nß")])).select(F.sha2("__kept", 256).alias("h")).first()["h"]
     assert out == hashlib.sha256("é\nß".encode()).hexdigest()
+
+
+def test_lines_above_the_limit_leave_the_texts_that_stay(spark, documents):
+    menu = "Home | About us"
+    text = lambda i: f"{menu}\n{prose(100 + i, 40)}\n\n  {menu.upper()} \t\nend of {i}"
+    rows = [(i, text(i), "en", "a") for i in range(12)] + [(50 + i, text(50 + i), "en", "b") for i in range(5)] + [(3, text(3), "en", "a")]
+    want = {i: text(i) if i in (0, *range(50, 55)) else f"{prose(100 + i, 40)}\n\nend of {i}" for i, *_ in rows}
+    got = quality.keep_documents(documents(rows))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([*want.items(), (3, want[3])])
+    assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().executedPlan().toString())
+
+    import corpus_pipeline
+
+    out = corpus_pipeline.quality_rules(spark, documents(rows), "").collect()
+    assert len(out) == len(rows) and all(r["n_chars"] == len(want[r["doc_id"]]) for r in out)

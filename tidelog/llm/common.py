@@ -99,6 +99,15 @@ def unnested(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(named)).alias("__u")).select(*df.columns, *[F.col(f"__u.{k}").alias(k) for k in columns])
 
 
+def without_lines(text: Column, dropped: Column) -> Column:
+    """A text without the lines at the positions in dropped; each line is looked at once."""
+    lines = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+    flag = lambda keep: lambda i: F.struct(i.alias("i"), F.lit(keep).alias("keep"))
+    flags = F.array_sort(F.concat(F.transform(kept, flag(True)), F.transform(dropped, flag(False))))
+    return F.array_join(F.zip_with(lines, flags, lambda line, f: F.when(f["keep"], line)), "\n")
+
+
 def row_key(*columns: Column) -> Column:
     """Hash that tells apart rows which share a document id."""
     return F.xxhash64(*columns)

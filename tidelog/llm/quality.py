@@ -14,7 +14,8 @@ Defined results
 * null host: a host of its own.
 * rows equal in id, host and text count as one document and get equal results.
 * an empty table gives an empty result; other columns are ignored, or kept by
-  :func:`keep_documents`, whatever their names.
+  :func:`keep_documents`, whatever their names. Its texts have lost the removed lines;
+  the counts and the verdict are of the text before.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, hash_pair, lower_ascii, materialize, row_key, strip_ascii, unnested
+from .common import SPACES, hash_pair, lower_ascii, materialize, row_key, strip_ascii, unnested, without_lines
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -103,15 +104,16 @@ def base_failed() -> Column:
     return (F.col("__n_words") < MIN_WORDS) | (F.lit(100) * F.col("__n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("__n_words"))
 
 
-def kept_shares(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
-    """(id, row, share): the share of words in lines that stay, for documents that lose any."""
+def _marked_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, max_share: float, *place: str) -> DataFrame:
+    """(id, host, text_key, words, gone) and, if asked, pos of every line with words; gone: removed here."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), body.alias("body"), row_key(body).alias("text_key"))
-    lines = rows.select("id", "host", "text_key", F.explode(F.split("body", "\n", -1)).alias("line"))
-    lines = lines.select("id", "host", "text_key", lower_ascii(strip_ascii(F.col("line"))).alias("line")).where("line != ''")
+    split = F.split("body", "\n", -1)
+    lines = rows.select("id", "host", "text_key", F.posexplode(split).alias("pos", "line") if place else F.explode(split).alias("line"))
+    lines = lines.select("id", "host", "text_key", *place, lower_ascii(strip_ascii(F.col("line"))).alias("line")).where("line != ''")
     h1, h2 = hash_pair(F.col("line"))
     words = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    index = materialize(lines.select("id", "host", "text_key", h1.alias("h1"), h2.alias("h2"), words.alias("words")), "quality-lines")
+    index = materialize(lines.select("id", "host", "text_key", *place, h1.alias("h1"), h2.alias("h2"), words.alias("words")), "quality-lines")
     texts = rows.groupBy("host").agg(F.count_distinct("text_key").alias("texts"))
     frequent = (
         index.groupBy("host", "h1", "h2")
@@ -122,28 +124,48 @@ def kept_shares(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     removed = frequent.where(F.col("documents") > max_share * F.col("texts")).select(F.col("host").alias("of"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
     hit = index.join(removed, F.col("host").eqNullSafe(F.col("of")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
     gone = F.col("k1").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    return hit.select("id", "host", "text_key", *place, "words", gone.alias("gone"))
+
+
+def _shares(marked: DataFrame, *more: Column) -> DataFrame:
     return (
-        hit.groupBy("id", "host", "text_key")
-        .agg(F.sum(F.when(gone, 0).otherwise(F.col("words"))).alias("kept"), F.sum("words").alias("all"))
+        marked.groupBy("id", "host", "text_key")
+        .agg(F.sum(F.when(F.col("gone"), 0).otherwise(F.col("words"))).alias("kept"), F.sum("words").alias("all"), *more)
         .where("kept < all")
-        .select("id", row_key(F.col("host"), F.col("text_key")).alias("row"), (F.col("kept") / F.col("all")).alias("share"))
+        .withColumns({"row": row_key(F.col("host"), F.col("text_key")), "share": F.col("kept") / F.col("all")})
     )
 
 
+def kept_shares(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
+    """(id, row, share): the share of words in lines that stay, for documents that lose any."""
+    return _shares(_marked_lines(docs, id_col, text_col, host_col, min_docs, max_share)).select("id", "row", "share")
+
+
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_kept_share: float = MIN_KEPT_SHARE, **limits) -> DataFrame:
     """A row a document: __id, __row, the counts, __base_failed, __kept_share and __kept."""
+    return _judged(docs, kept_shares(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits), id_col, text_col, host_col, min_kept_share)
+
+
+def _judged(docs: DataFrame, shares: DataFrame, id_col: str, text_col: str, host_col: str, min_kept_share: float) -> DataFrame:
     text_key = row_key(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     narrow = docs.select(F.col(id_col).alias("__id"), row_key(F.col(host_col).cast("string"), text_key).alias("__row"), F.col(text_col).alias("__text"))
     counts = text_counts(narrow, "__text").drop("__text").withColumn("__base_failed", base_failed())
-    shares = kept_shares(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
     out = counts.join(shares, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__row") == F.col("row")), "left")
     share = F.coalesce("share", F.lit(1.0))
-    return out.select(*counts.columns, share.alias("__kept_share"), (~F.col("__base_failed") & (share >= min_kept_share)).alias("__kept"))
+    more = [F.col("gone").alias("__gone")] if "gone" in shares.columns else []
+    return out.select(*counts.columns, share.alias("__kept_share"), (~F.col("__base_failed") & (share >= min_kept_share)).alias("__kept"), *more)
 
 
-def keep_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    verdicts = judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, **options).where("__kept").select("__id", "__row").distinct()
+def keep_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_kept_share: float = MIN_KEPT_SHARE, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
+    """The documents that pass, with all their columns and without the lines that are removed."""
+    # null where a line stays, so only the places of removed lines are gathered
+    places = F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("pos"))))
+    shares = _shares(_marked_lines(docs, id_col, text_col, host_col, min_docs, max_share, "pos"), places.alias("gone"))
+    shares = materialize(shares.select("id", "row", "share", "gone"), "quality-shares")
+    verdicts = _judged(docs, shares, id_col, text_col, host_col, min_kept_share).where("__kept").select("__id", "__row", "__gone").dropDuplicates(["__id", "__row"])
     text_key = row_key(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     keyed = docs.withColumn("__key", row_key(F.col(host_col).cast("string"), text_key))
-    return keyed.join(verdicts, keyed[id_col].eqNullSafe(verdicts["__id"]) & (keyed["__key"] == verdicts["__row"]), "left_semi").select(*docs.columns)
+    joined = keyed.join(verdicts, keyed[id_col].eqNullSafe(verdicts["__id"]) & (keyed["__key"] == verdicts["__row"]))
+    text = F.col(text_col).cast("string")
+    cleaned = F.when(F.col("__gone").isNull(), text).otherwise(without_lines(text, F.col("__gone"))).cast(docs.schema[text_col].dataType)
+    return joined.select(*[cleaned.alias(c) if c == text_col else keyed[c] for c in docs.columns])
