@@ -58,3 +58,15 @@ def test_repeated_rows_and_an_empty_table(documents):
 def test_native_plan(documents):
     plan = license.scan(documents([(1, TEXTS[0])]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_notices_wrapped_over_lines(documents):
+    rows, want = [], {}
+    for n, (label, notice) in enumerate(license.TEMPLATES):
+        parts = notice.split()
+        for cut in (len(parts) // 3, len(parts) // 2):
+            i = len(rows)
+            rows.append((i, prose(i, 30) + "\n# " + " ".join(parts[:cut]) + "\n# " + " ".join(parts[cut:]) + "\n" + prose(i + 50, 30)))
+            want[i] = label
+    got = {r["id"]: (r["labels"].split(","), r["score"]) for r in license.scan(documents(rows), wrapped=True).collect()}
+    assert all(want[i] in got[i][0] and got[i][1] == 1.0 for i in want)

@@ -1,6 +1,8 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line, a set of its words. It matches a template if it holds at least
+A block is a line, a set of its words; with `wrapped`, also every run of words as
+long as the longest template, over the whole text, so that a notice wrapped over
+lines lies in one block. A block matches a template if it holds at least
 `threshold` of the template's words (containment). The words are ordered by their
 frequency over all blocks of the corpus, rarest first. A block that reaches the
 threshold must share one of the template's first size - required + 1 words (prefix
@@ -52,9 +54,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(text), _BETWEEN, -1), lambda w: w != "")
 
 
+def _all_words(text: str) -> list[str]:
+    return "".join(c if c.isdigit() or "a" <= c <= "z" or ord(c) > 127 else " " for c in text.lower()).split()
+
+
 def _template_words(text: str) -> list[str]:
-    found = "".join(c if c.isdigit() or "a" <= c <= "z" or ord(c) > 127 else " " for c in text.lower())
-    return sorted(set(found.split()))
+    return sorted(set(_all_words(text)))
+
+
+def _runs(docs: DataFrame, id_col: str, text: Column, vocabulary: list[str], width: int) -> DataFrame:
+    """(id, row, block, words) of the runs of width words that begin with a template word; others hold no more of a template than the next that does."""
+    rows = docs.select(F.col(id_col).alias("id"), row_key(text).alias("row"), text.alias("body")).where(F.contains("body", F.lit("\n")))
+    rows = unnested(rows.select("id", "row", "body"), all=words(F.col("body"))).drop("body")
+    known = F.array(*map(F.lit, vocabulary))
+    begins = F.filter(F.transform("all", lambda w, i: F.when(w.isin(vocabulary), i)), lambda i: i.isNotNull())
+    rows = unnested(rows, begins=begins)
+    runs = rows.select("id", "row", F.explode(F.transform("begins", lambda i: F.struct(i.alias("i"), F.array_intersect(F.slice(F.col("all"), i + 1, width), known).alias("words")))).alias("run"))
+    return runs.select("id", "row", (-1 - F.col("run.i")).alias("block"), "run.words")
 
 
 def word_frequencies(blocks: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -78,13 +94,15 @@ def template_index(spark: SparkSession, frequencies: dict[str, int], threshold:
     return spark.createDataFrame(rows, "rank int, p int, template int, label string, ranks array<int>, required int"), order, min(least)
 
 
-def block_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
+def block_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES, wrapped: bool = False) -> DataFrame:
     """(id, row, block, label, containment) of every block and template that reach the threshold."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = docs.select(F.col(id_col).alias("id"), row_key(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("block", "line"))
     blocks = lines.select("id", "row", "block", words(F.col("line")).alias("words"))
     vocabulary = sorted({w for _, t in templates for w in _template_words(t)})
     index, order, least = template_index(docs.sparkSession, word_frequencies(blocks, vocabulary), threshold, templates)
+    if wrapped:
+        blocks = blocks.union(_runs(docs, id_col, text, vocabulary, max(len(_all_words(t)) for _, t in templates)))
     prefixes = sorted({order[r["rank"]] for r in index.select("rank").distinct().collect()})
 
     near = blocks.where(F.arrays_overlap("words", F.array(*map(F.lit, prefixes))))
@@ -114,7 +132,7 @@ def _places(words: str) -> Column:
     return F.filter(F.transform(words, at), lambda p: p["label"].isNotNull())
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES, wrapped: bool = False) -> DataFrame:
     """(id, n_words, places, base_labels, labels, score) of every document."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), row_key(text).alias("row"), text.alias("body"))
@@ -124,7 +142,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     rows = rows.select("id", "row", F.regexp_count("body", F.lit(_WORD)).cast("long").alias("n_words"), F.when(may, F.col("body")).otherwise(F.lit("")).alias("body"))
     rows = unnested(rows, words=words(F.col("body")))
     rows = rows.select("id", "row", "n_words", _places("words").alias("places"))
-    matches = block_matches(docs, id_col=id_col, text_col=text_col, threshold=threshold, templates=templates)
+    matches = block_matches(docs, id_col=id_col, text_col=text_col, threshold=threshold, templates=templates, wrapped=wrapped)
     found = matches.groupBy("id", "row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("score"))
     found = found.select(F.col("id").alias("__id"), F.col("row").alias("__row"), "found", "score")
     out = rows.join(found, F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")), "left")

@@ -55,7 +55,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = license.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = license.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True)
     starts = F.col("places.start")
     return out.select(
         F.col("id").alias("doc_id"),
