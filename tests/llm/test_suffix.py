@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tidelog.llm import suffix_dedup
 from tidelog.llm.suffix import Block
-from tidelog.llm.suffix_dedup import gram_hashes, runs
+from tidelog.llm.suffix_dedup import _sums, gram_hashes, runs
 
 from .conftest import AWKWARD, prose
 
@@ -34,7 +34,7 @@ def test_only_starts_asked_for(fragments, length, data):
 
 def test_hashes_depend_on_content_alone():
     data = np.frombuffer(prose(1, 300).encode() + b"abcdefgh" * 40, np.uint8)
-    hashes = gram_hashes(data, 16)
+    hashes = gram_hashes(_sums(data), 16)
     by_gram = {}
     for i, h in enumerate(hashes.tolist()):
         assert by_gram.setdefault(bytes(data[i : i + 16]), h) == h
@@ -44,7 +44,11 @@ def test_hashes_depend_on_content_alone():
 @given(st.lists(st.text(alphabet="abc", min_size=12, max_size=80).map(str.encode), min_size=1, max_size=4))
 @settings(max_examples=150, deadline=None)
 def test_runs_cover_every_start_with_a_key_of_the_string(pieces):
-    piece, key, start, count, occurrences = runs(pieces, 12, 4, 5)
+    piece, key, digest, start, count, occurrences = runs(pieces, [len(x) - 11 for x in pieces], 12, 20, 4, 5)
+    by_digest = {}
+    for p, d, s, n in zip(piece.tolist(), digest.tolist(), start.tolist(), count.tolist(), strict=True):
+        fragment = pieces[p][s : s + n + 19]
+        assert by_digest.setdefault(d, fragment) == fragment
     keys = {}
     for p, k, s, n in zip(piece.tolist(), key.tolist(), start.tolist(), count.tolist(), strict=True):
         for i in range(s, s + n):
@@ -91,15 +95,47 @@ CASES = [
 ]
 
 
+def check(documents, rows, **options):
+    length, window = 40, 24
+    out = suffix_dedup.dedup(documents(rows), length=length, window=window, grams=(12, 20, window), **options).collect()
+    got = [(r["id"], r["n_bytes"], sum(s["to"] - s["from"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"]), r["n_shared"]) for r in out]
+    texts = [(t or "").encode() for _, t, *_x in rows]
+    want = [(i, *b, s[1]) for (i, *_), b, s in zip(rows, brute(texts, length), brute(texts, window), strict=True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("rows", CASES)
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 300, "group_bytes": 400}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 300}])
 def test_dedup(documents, rows, options):
-    """Small limits split every frequent key over several blocks; results stay."""
-    length = 40
-    out = suffix_dedup.dedup(documents(rows), length=length, gram=12, **options).collect()
-    got = [(r["id"], r["n_bytes"], sum(s["to"] - s["from"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in out]
-    want = [(i, *b) for (i, *_), b in zip(rows, brute([(t or "").encode() for _, t, *_x in rows], length), strict=True)]
-    assert sorted(got) == sorted(want)
+    """Small blocks deal every frequent key anew, down to single strings; results stay."""
+    check(documents, rows, **options)
+
+
+@given(st.lists(small, min_size=1, max_size=6), st.integers(1, 30))
+@settings(max_examples=200, deadline=None)
+def test_common_prefixes(fragments, length):
+    block = Block(fragments, [len(f) for f in fragments])
+    order = block.order(length)
+    rest = [block.text[i : int(block.ends[np.searchsorted(block.starts, i, "right") - 1])][:length] for i in order.tolist()]
+    want = [next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(rest, rest[1:], strict=False)]
+    assert block.common_prefixes(order, length).tolist() == want
+
+
+def test_repeats_across_the_bounds_of_a_scan(documents, monkeypatch):
+    """Passages that lie over the places where a long text is cut for scanning."""
+    monkeypatch.setattr(suffix_dedup, "_SCAN_BYTES", 500)
+    long = prose(30, 600)
+    rows = [(1, long), (2, "xx " + long[460:560] + prose(31, 20)), (3, prose(32, 15) + long[990:1050] + long[1400:1600])]
+    check(documents, rows)
+
+
+def test_a_text_longer_than_a_scan(documents):
+    long = prose(40, 30_000)
+    cut = suffix_dedup._SCAN_BYTES
+    assert len(long) > cut + 2000
+    rows = [(1, long), (2, long[cut - 700 : cut + 500]), (3, prose(41, 30_000)[:1000])]
+    got = {r["id"]: (r["n_bytes"], [(s["from"], s["to"]) for s in r["spans"]]) for r in suffix_dedup.dedup(documents(rows)).collect()}
+    assert got == {1: (len(long), [(cut - 700, cut + 500)]), 2: (1200, [(0, 1200)]), 3: (1000, [])}
 
 
 def test_awkward_rows_and_an_empty_table(documents):

@@ -38,7 +38,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def remove_tables(spark: SparkSession) -> None:
     """Delete the tables that this application's operators wrote; call it when their results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    _delete(spark, _own(spark))
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -70,7 +74,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tidelog_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote and that no plan reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._tidelog_path)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -9,7 +9,7 @@ sentinel below all bytes. Suffixes that neither are asked for nor are needed to
 induce one are left out.
 
 The order is exact on the first `length` bytes, so suffixes that agree on them are
-neighbours, and common prefixes of neighbours find every repeat.
+neighbours, and common prefixes of neighbours tell how far every suffix repeats.
 """
 
 from __future__ import annotations
@@ -94,12 +94,25 @@ class Block:
         keys = [text[a:b] for a, b in zip(positions.tolist(), stops.tolist(), strict=True)]
         return positions[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)] if keys else positions
 
-    def agree(self, order: np.ndarray, length: int) -> np.ndarray:
-        """agree[i]: whether suffixes order[i] and order[i + 1] have a common prefix of `length` bytes."""
-        out = np.zeros(max(0, len(order) - 1), bool)
+    def common_prefixes(self, order: np.ndarray, length: int) -> np.ndarray:
+        """The bytes, at most `length`, on which suffixes order[i] and order[i + 1] agree."""
         a, b = order[:-1], order[1:]
-        data = np.frombuffer(self.text, np.uint8)
-        maybe = np.flatnonzero((data[a] == data[b]) & (data[a + length - 1] == data[b + length - 1]) & (data[a + length // 2] == data[b + length // 2]))
-        text = self.text
-        out[maybe] = [text[x : x + length] == text[y : y + length] for x, y in zip(a[maybe].tolist(), b[maybe].tolist(), strict=True)]
-        return out
+        padded = np.frombuffer(self.text + bytes(length + 8), np.uint8)
+        eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        owner = np.searchsorted(self.starts, order, "right") - 1
+        left = self.ends[owner] - order
+        most = np.minimum(np.minimum(left[:-1], left[1:]), length)
+        out = np.zeros(len(a), np.int64)
+        going = np.arange(len(a))
+        for at in range(0, length, 8):
+            differ = eights[a[going] + at] ^ eights[b[going] + at]
+            ended = np.flatnonzero(differ)
+            if len(ended):
+                low = differ[ended] & (~differ[ended] + np.uint64(1))  # the lowest bit that differs tells the byte
+                out[going[ended]] = at + np.log2(low.astype(np.float64)).astype(np.int64) // 8
+            going = going[differ == 0]
+            out[going] = at + 8
+            going = going[most[going] > at + 8]
+            if not len(going):
+                break
+        return np.minimum(out, most).astype(np.int32)

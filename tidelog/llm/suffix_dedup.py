@@ -1,21 +1,26 @@
 """Suffix-array dedup: remove every byte covered by a string of LENGTH bytes that also starts elsewhere.
 
 Suffixes of 100 TB cannot be sorted in one place, and shipping each with its next
-LENGTH bytes would multiply the text. The work is dealt so that equal strings meet:
-
-1. Every string of LENGTH bytes is keyed by the least hash of the GRAM-byte strings
-   inside it, which depends on its content alone. Consecutive starts of one key form
-   a run, so a key costs a row every hundred bytes or more.
-2. Keys that occur once cannot hold a repeat. Only runs of other keys go on.
-3. Their fragments (a run's starts and LENGTH - 1 bytes more) are grouped by key and
-   suffix-sorted in bounded blocks by :mod:`.suffix`; neighbours with a common prefix
-   of LENGTH bytes are repeats. Equal fragments are merged first.
-4. A key with more bytes than GROUP_BYTES is dealt to several blocks. Its blocks are
-   sorted on their own, and one digest a distinct string tells repeats across the
-   blocks of a split key apart from single strings.
-5. Marked starts return to their documents as intervals.
-
-No group, however large, is gathered in one task.
+LENGTH bytes would multiply the text. The work is dealt by content, so that strings
+that agree on their first WINDOW bytes always meet:
+
+1. Every string of WINDOW bytes is keyed by the least hash of the gram-sized strings
+   inside it. Consecutive starts of one key form a run, so a run costs a row every
+   hundred bytes or so. Keys that occur once cannot hold a repeat; only runs of other
+   keys go on.
+2. Equal fragments (a run's starts and LENGTH - 1 bytes more) of a key are merged to
+   one with a count. Only one text of each distinct fragment is read again.
+3. The distinct fragments of a key are suffix-sorted together by :mod:`.suffix`, a
+   fragment that has copies standing in twice, and the common prefixes of neighbours
+   tell for every start how long a string from there occurs elsewhere.
+4. A key whose distinct fragments do not fit a block is dealt once more in the same
+   way, its fragments being the texts, by the next of GRAMS. The last gram is the
+   whole string, where a key has one string only, so the dealing ends; equal strings
+   meet at every level.
+5. The marked starts of a fragment go back to all its copies.
+
+No group, however large, is gathered in one task. The common prefixes also give what
+repeats at shorter lengths, WINDOW bytes or more; :func:`dedup` reports it as n_shared.
 
 Defined results
 ---------------
@@ -27,7 +32,6 @@ Defined results
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import materialize, release, row_key
 from .suffix import Block
 
 LENGTH = 400
-GRAM = 128
+#: Strings that agree on so many bytes meet; fifty words of any language have as many.
+WINDOW = 240
+GRAMS = (64, 200, WINDOW)
 RUN_STARTS = 1024
 BLOCK_BYTES = 1 << 19
-GROUP_BYTES = 1 << 19
 _SCAN_BYTES = 1 << 17
 #: Fixed values of the rolling hash: an odd base with its inverse modulo 2**64, and mixing multipliers.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_SPANS = "array<struct<from:bigint,to:bigint,full:boolean>>"
+_SPANS_PA = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("full", pa.bool_())]))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -62,13 +69,8 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A mixed 64-bit hash of every run of `gram` bytes."""
-    n = len(data)
+def _mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-        h = (sums[gram:] - sums[:-gram]) * _power(_INVERSE, n - gram + 1)
         h ^= h >> np.uint64(30)
         h *= _MIX1
         h ^= h >> np.uint64(27)
@@ -77,6 +79,20 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
+def _sums(data: np.ndarray) -> np.ndarray:
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
+    return sums
+
+
+def gram_hashes(sums: np.ndarray, gram: int) -> np.ndarray:
+    """A mixed 64-bit hash of every run of `gram` bytes, from the prefix sums of the data."""
+    with np.errstate(over="ignore"):
+        return _mixed((sums[gram:] - sums[:-gram]) * _power(_INVERSE, len(sums) - gram))
+
+
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (np.minimum or np.maximum) over every window of a width, by doubling."""
     have = 1
@@ -86,22 +102,23 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - have)], values[width - have :]) if have < width else values
 
 
-def runs(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM, run_starts: int = RUN_STARTS) -> tuple[np.ndarray, ...]:
-    """Arrays (piece, key, start, starts, occurrences): the runs of one key in each piece, at most run_starts long.
+def runs(pieces: list[bytes], counts: list[int], window: int = WINDOW, length: int = LENGTH, gram: int = GRAMS[0], run_starts: int = RUN_STARTS) -> tuple[np.ndarray, ...]:
+    """Arrays (piece, key, digest, start, starts, occurrences): the runs of one key among the first counts[i] starts of each piece.
 
-    Pieces have at least `length` bytes; they are scanned as one buffer, of which only
-    strings inside a piece count. occurrences is 2 where the key's gram stands in the
-    run's bytes more than once.
+    Every start asked for has at least `window` bytes in its piece. Runs are at most
+    run_starts long. digest is a hash of the run's fragment; occurrences is 2 where the
+    key's gram stands in the run's windows more than once.
     """
-    width = length - gram + 1
+    width = window - gram + 1
     data = np.frombuffer(b"".join(pieces), np.uint8)
-    sizes = np.array([len(x) for x in pieces], np.int64)
+    sizes, asked = np.array([len(x) for x in pieces], np.int64), np.array(counts, np.int64)
     base = np.cumsum(sizes) - sizes
-    hashes = gram_hashes(data, gram)
-    least = _sliding(hashes, width, np.minimum)
+    sums = _sums(data)
+    hashes = gram_hashes(sums, gram)
+    least = _sliding(hashes, width, np.minimum).copy()
     edges = np.zeros(len(data) + 1, np.int8)
     edges[base] += 1
-    edges[base + sizes - length + 1] -= 1
+    edges[base + asked] -= 1
     valid = np.cumsum(edges[: len(least)], dtype=np.int8) > 0
     least[~valid] = 0
     starts = np.flatnonzero(valid)
@@ -111,7 +128,7 @@ def runs(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM, run_starts
     head = np.flatnonzero(new)
     first, key = starts[head], value[head]
     count = np.diff(np.append(head, len(starts)))
-    # where a gram is the least of some string
+    # where a gram is the least of some window
     edge = np.zeros(width - 1, np.uint64)
     chosen = np.flatnonzero(hashes == _sliding(np.concatenate([edge, least, edge]), width, np.maximum))
     values, which = np.unique(hashes[chosen], return_inverse=True)
@@ -128,92 +145,92 @@ def runs(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM, run_starts
         count = np.minimum(run_starts, count[of_run] - nth * run_starts)
         first, key, occurrences = first[of_run] + nth * run_starts, key[of_run], occurrences[of_run]
     piece = np.searchsorted(base, first, "right") - 1
-    return piece, key.view(np.int64), first - base[piece], count, occurrences
+    end = np.minimum(first + count + length - 1, base[piece] + sizes[piece])
+    with np.errstate(over="ignore"):
+        digest = _mixed((sums[end] - sums[first]) * _power(_INVERSE, len(sums))[first] + (end - first).astype(np.uint64))
+    return piece, key.view(np.int64), digest.view(np.int64), first - base[piece], count, occurrences
 
 
-def _run_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    names = ["key", "id", "row", "start", "starts", "occurrences"]
+def _run_rows(texts: DataFrame, window: int, length: int, gram: int) -> DataFrame:
+    """(key, digest, node, start, starts, occurrences, copies) of every run of texts (node, copies, asked, body)."""
+    names = ["key", "digest", "node", "start", "starts", "occurrences", "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[tuple[int, int, bytes]] = []  # row of the batch, offset in its text, bytes
+            held: list[tuple[int, int, int, bytes]] = []  # row of the batch, offset in its text, starts asked for, bytes
             size = 0
 
             def scanned(held: list, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                piece, key, start, count, occurrences = runs([h[2] for h in held], length, gram)
+                piece, key, digest, start, count, occurrences = runs([h[3] for h in held], [h[2] for h in held], window, length, gram)
                 at = pa.array(np.array([h[0] for h in held])[piece])
                 start = start + np.array([h[1] for h in held])[piece]
-                columns = [pa.array(key), batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(count.astype(np.int32)), pa.array(occurrences.astype(np.int32))]
+                columns = [pa.array(key), pa.array(digest), batch.column(0).take(at), pa.array(start), pa.array(count.astype(np.int32)), pa.array(occurrences.astype(np.int32)), batch.column(1).take(at)]
                 return pa.RecordBatch.from_arrays(columns, names)
 
-            for i, value in enumerate(batch.column(2)):
+            for i, (asked, value) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
                 text = value.as_py()
-                for at in range(0, len(text) - length + 1, _SCAN_BYTES):
-                    held.append((i, at, text[at : at + _SCAN_BYTES + length - 1]))
-                    size += len(held[-1][2])
+                asked = min(len(text) - window + 1, len(text) if asked is None else asked)
+                for at in range(0, asked, _SCAN_BYTES):
+                    held.append((i, at, min(_SCAN_BYTES, asked - at), text[at : at + _SCAN_BYTES + length - 1]))
+                    size += len(held[-1][3])
                     if size >= _SCAN_BYTES:
                         yield scanned(held)
                         held, size = [], 0
             if held:
                 yield scanned(held)
 
-    long_enough = rows.where(F.octet_length("body") >= length)
-    return long_enough.mapInArrow(run, f"key bigint, id {dict(rows.dtypes)['id']}, row bigint, start bigint, starts int, occurrences int")
+    long_enough = texts.select("node", "copies", "asked", "body").where(F.octet_length("body") >= window)
+    return long_enough.mapInArrow(run, f"key bigint, digest bigint, node {_type(texts, 'node')}, start bigint, starts int, occurrences int, copies bigint")
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
-def _fragments(joined: DataFrame, length: int) -> DataFrame:
-    """A row a run with its bytes; a split key's runs are dealt by their place."""
+def _fragments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(key, digest, copies, asked, body) of the wanted (key, digest, copies, at (node, start), starts), a text read once."""
+    listed = wanted.groupBy(F.col("at.node").alias("of")).agg(F.collect_list(F.struct("key", "digest", "copies", F.col("at.start").alias("start"), "starts")).alias("runs"))
+    joined = texts.join(listed, texts["node"].eqNullSafe(listed["of"])).select("body", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, keys, parts, splits, starts, counts, pieces, size = [], [], [], [], [], [], [], 0
-            rows_of = batch.column(1).to_pylist()
+            rows, size = [], 0
 
-            def flush(batch=batch) -> pa.RecordBatch:
-                at = pa.array(owners, pa.int64())
-                columns = [pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.array(splits, pa.bool_()), batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int64()), pa.array(counts, pa.int32()), pa.array(pieces, pa.binary())]
-                return pa.RecordBatch.from_arrays(columns, ["key", "part", "split", "id", "row", "start", "starts", "bytes"])
+            def flush(rows: list) -> pa.RecordBatch:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "digest", "copies", "asked", "body"])
 
-            for i, (body, listed) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            for body, listed in zip(batch.column(0), batch.column(1), strict=True):
                 text = body.as_py()
                 for r in listed.as_py():
-                    piece = text[r["start"] : r["start"] + r["starts"] + length - 1]
-                    owners.append(i)
-                    keys.append(r["key"])
-                    splits.append(r["parts"] > 1)
-                    parts.append(hash((rows_of[i], r["start"])) % r["parts"] if r["parts"] > 1 else 0)
-                    starts.append(r["start"])
-                    counts.append(r["starts"])
-                    pieces.append(piece)
-                    size += len(piece)
-                if size > 4 << 20:
-                    yield flush()
-                    owners, keys, parts, splits, starts, counts, pieces, size = [], [], [], [], [], [], [], 0
-            if owners:
-                yield flush()
-
-    return joined.mapInArrow(run, f"key bigint, part int, split boolean, id {dict(joined.dtypes)['id']}, row bigint, start bigint, starts int, bytes binary")
-
-
-def mark_block(fragments: list[bytes], starts: list[int], length: int) -> tuple[list[int], np.ndarray, Block, np.ndarray]:
-    """Repeats among the fragments, of which the first starts[i] positions are asked for.
-
-    Returns the number of each fragment's distinct text, whether each position of the
-    block of distinct texts repeats, the block, and one start of each distinct string.
+                    rows.append((r["key"], r["digest"], r["copies"], r["starts"], text[r["start"] : r["start"] + r["starts"] + length - 1]))
+                    size += len(rows[-1][4])
+                    if size > 4 << 20:
+                        yield flush(rows)
+                        rows, size = [], 0
+            if rows:
+                yield flush(rows)
+
+    return joined.mapInArrow(run, "key bigint, digest bigint, copies bigint, asked int, body binary")
+
+
+def mark_block(fragments: list[bytes], asked: list[int], copies: list[int], window: int, length: int) -> list[list[tuple[int, int, bool]]]:
+    """For each fragment the intervals of its first asked[i] starts that repeat on `length` bytes (True) and on `window` (False).
+
+    Of equal strings all but one would do; a fragment that has copies stands in the block twice.
     """
-    number: dict[tuple[bytes, int], int] = {}
-    which = [number.setdefault((f, n), len(number)) for f, n in zip(fragments, starts, strict=True)]
-    block = Block([f for f, _ in number], [n for _, n in number])
+    twice = [i for i, n in enumerate(copies) if n > 1]
+    block = Block(fragments + [fragments[i] for i in twice], asked + [asked[i] for i in twice])
     order = block.order(length)
-    same = block.agree(order, length)
-    repeats = np.zeros(len(block.codes), bool)
-    repeats[order[:-1][same]] = True
-    repeats[order[1:][same]] = True
-    copies = np.bincount(which, minlength=len(number)) > 1
-    for f in np.flatnonzero(copies):
-        repeats[block.starts[f] : block.ends[f] + 1] = True
-    leaders = order[np.concatenate([[True], ~same])] if len(order) else order
-    return which, repeats & block.asked, block, leaders
+    shared = block.common_prefixes(order, length)
+    longest = np.zeros(len(block.codes), np.int32)
+    np.maximum.at(longest, order[:-1], shared)
+    np.maximum.at(longest, order[1:], shared)
+    out = []
+    for at, n in zip(block.starts[: len(fragments)].tolist(), asked, strict=True):
+        of = longest[at : at + n]
+        out.append([(a, b, full) for full, least in ((True, length), (False, window)) for a, b in _intervals(of >= least)])
+    return out
 
 
 def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -221,105 +238,100 @@ def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
 
 
-def _marks(fragments: DataFrame, length: int, block_bytes: int) -> DataFrame:
-    """Intervals (id, row, from, to) of repeated starts, and for split keys a digest of each distinct string."""
-    id_type = dict(fragments.dtypes)["id"]
+def _marks(fragments: DataFrame, window: int, length: int, block_bytes: int) -> DataFrame:
+    """(key, digest, spans) of every fragment with repeated starts; the fragments of a key stand together."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """Whole groups (key, part), as many as fit a block."""
-        held, size, last = [], 0, None
+        """Whole keys, as many as fit a block; a fragment that a repeated row brings again counts once."""
+        held, seen, size, last = [], set(), 0, None
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 for row in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
-                    if row[:2] != last:
+                    if row[0] != last:
                         if size >= block_bytes:
                             yield held
                             held, size = [], 0
-                        last = row[:2]
-                    held.append(row)
-                    size += len(row[7])
+                        seen, last = set(), row[0]
+                    if row[1] not in seen:
+                        seen.add(row[1])
+                        held.append(row)
+                        size += len(row[4])
         if held:
             yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in groups(batches):
-            which, repeats, block, leaders = mark_block([r[7] for r in held], [r[6] for r in held], length)
-            ids, rows, froms, tos, digests, single = [], [], [], [], [], []
-            spans: dict[int, list[tuple[int, int]]] = {}
-            split, example = set(), {}
-            for f, r in zip(which, held, strict=True):
-                if f not in spans:
-                    at = block.starts[f]
-                    spans[f] = _intervals(repeats[at : at + r[6]])
-                for a, b in spans[f]:
-                    ids.append(r[3])
-                    rows.append(r[4])
-                    froms.append(r[5] + a)
-                    tos.append(r[5] + b)
-                    digests.append(None)
-                    single.append(False)
-                if r[2]:
-                    split.add(f)
-                    example[f] = r
-            if split:
-                owner = np.searchsorted(block.starts, leaders, "right") - 1
-                for at, f in zip(leaders.tolist(), owner.tolist(), strict=True):
-                    if f in split:
-                        r, offset = example[f], at - int(block.starts[f])
-                        ids.append(r[3])
-                        rows.append(r[4])
-                        froms.append(r[5] + offset)
-                        tos.append(r[5] + offset)
-                        digests.append(hashlib.blake2b(block.text[at : at + length], digest_size=16).digest())
-                        single.append(not repeats[at])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_pa), pa.array(rows, pa.int64()), pa.array(froms, pa.int64()), pa.array(tos, pa.int64()), pa.array(digests, pa.binary()), pa.array(single, pa.bool_())], ["id", "row", "from", "to", "digest", "single"])
-
-    id_pa = fragments.select("id").limit(0).toArrow().schema.field(0).type
-    return fragments.mapInArrow(run, f"id {id_type}, row bigint, from bigint, to bigint, digest binary, single boolean")
-
-
-def repeated_starts(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Intervals (id, row, from, to) of starts of strings that occur again; rows are (id, row, body)."""
-    found = materialize(_run_rows(rows, length, gram), "suffix-runs")
-    keys = found.groupBy("key").agg(F.sum("occurrences").alias("n"), F.sum(F.col("starts") + (length - 1)).alias("bytes")).where("n > 1")
-    keys = materialize(keys.select(F.col("key").alias("of"), F.ceil(F.col("bytes") / group_bytes).cast("int").alias("parts")), "suffix-keys")
-    going = found.join(keys, found["key"] == keys["of"]).select("id", "row", F.struct("key", "parts", "start", "starts").alias("run"))
-    listed = going.groupBy("id", "row").agg(F.collect_set("run").alias("runs"))
-    listed = listed.select(F.col("id").alias("__id"), F.col("row").alias("__row"), "runs")
-    joined = rows.join(listed, rows["id"].eqNullSafe(listed["__id"]) & (rows["row"] == listed["__row"])).select("id", "row", "body", "runs")
-    dealt = _fragments(joined, length).repartition("key", "part").sortWithinPartitions("key", "part")
-    marks = materialize(_marks(dealt, length, block_bytes), "suffix-marks")
-    inside = marks.where("digest IS NULL").select("id", "row", "from", "to")
-    told = marks.where("digest IS NOT NULL")
-    again = told.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("same"))
-    across = told.where("single").join(again, F.col("digest") == F.col("same")).select("id", "row", "from", "to")
-    return inside.union(across)
-
-
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
-    """(id, n_bytes, spans, kept) of every document: removed byte spans [from, to) and the bytes that stay."""
+            spans = mark_block([r[4] for r in held], [r[3] for r in held], [r[2] for r in held], window, length)
+            rows = [(r[0], r[1], [{"from": a, "to": b, "full": full} for a, b, full in s]) for r, s in zip(held, spans, strict=True) if s]
+            kinds = (pa.int64(), pa.int64(), _SPANS_PA)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "digest", "spans"])
+
+    return fragments.mapInArrow(run, f"key bigint, digest bigint, spans {_SPANS}")
+
+
+def repeated_starts(texts: DataFrame, *, window: int = WINDOW, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(node, spans) of texts (node, copies, asked, body): intervals of starts of strings that occur again, a row a run."""
+    found = materialize(_run_rows(texts, window, length, grams[0]), "suffix-runs")
+    keys = found.groupBy("key").agg(F.sum(F.col("occurrences") * F.col("copies")).alias("n")).where("n > 1")
+    keys = materialize(keys.select(F.col("key").alias("of")), "suffix-keys")
+    going = materialize(found.join(keys, found["key"] == keys["of"]).select("key", "digest", "node", "start", "starts", "copies"), "suffix-going")
+    release(found, keys)
+
+    distinct = going.groupBy("key", "digest", "starts").agg(F.sum("copies").alias("copies"), F.min(F.struct("node", "start")).alias("at"))
+    distinct = materialize(distinct, "suffix-distinct")
+    size = (F.col("starts") + (length - 1)) * F.least("copies", F.lit(2))
+    large = distinct.groupBy("key").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > (block_bytes if len(grams) > 1 else (1 << 62)))
+    large = materialize(large.select(F.col("key").alias("of")), "suffix-large")
+    small = distinct.join(large, distinct["key"] == large["of"], "left_anti")
+    told = _marks(_fragments(texts, small, length).repartition("key").sortWithinPartitions("key"), window, length, block_bytes)
+    if large.head(1):
+        again = distinct.join(large, distinct["key"] == large["of"], "left_semi")
+        again = _fragments(texts, again, length).dropDuplicates(["key", "digest"])
+        again = materialize(again.select(F.struct("key", "digest").alias("node"), "copies", "asked", "body"), "suffix-again")
+        deeper = repeated_starts(again, window=window, length=length, grams=grams[1:], block_bytes=block_bytes)
+        deeper = deeper.groupBy("node").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        told = told.union(deeper.select("node.key", "node.digest", "spans"))
+    told = told.select(F.col("key").alias("of"), F.col("digest").alias("as"), "spans")
+    # as a table of its own the join has an exchange on both sides, so the copies of a fragment are split
+    told = materialize(told, "suffix-marks")
+    release(distinct, large)
+    place = lambda s: F.struct((s["from"] + F.col("start")).alias("from"), (s["to"] + F.col("start")).alias("to"), s["full"].alias("full"))
+    back = going.join(told, (going["key"] == told["of"]) & (going["digest"] == told["as"]))
+    return back.select("node", F.transform("spans", place).alias("spans"))
+
+
+def _merged(marks: list[dict], length: int) -> list[dict]:
+    """Byte spans covered by strings of a length at the marked starts, which ascend."""
+    found: list[dict] = []
+    for m in marks:
+        if found and m["from"] <= found[-1]["to"]:
+            found[-1]["to"] = max(found[-1]["to"], m["to"] + length)
+        else:
+            found.append({"from": m["from"], "to": m["to"] + length})
+    return found
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, **options) -> DataFrame:
+    """(id, n_bytes, spans, kept, n_shared) of every document: removed byte spans [from, to), the bytes that stay, and how many bytes strings of `window` bytes cover that repeat."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), row_key(text).alias("row"), text.cast("binary").alias("body"))
-    marks = repeated_starts(rows, length=length, **options)
-    listed = marks.groupBy("id", "row").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("marks"))
-    listed = listed.select(F.col("id").alias("__id"), F.col("row").alias("__row"), "marks")
-    joined = rows.join(listed, rows["id"].eqNullSafe(listed["__id"]) & (rows["row"] == listed["__row"]), "left").select("id", "body", "marks")
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), row_key(text).alias("row")).alias("node"), text.cast("binary").alias("body"))
+    texts = rows.select("node", F.lit(1).cast("long").alias("copies"), F.lit(None).cast("int").alias("asked"), "body")
+    marks = repeated_starts(texts, length=length, window=window, grams=grams, **options)
+    listed = marks.groupBy(F.col("node").alias("of")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("marks"))
+    joined = rows.join(listed, rows["node"].eqNullSafe(listed["of"]), "left").select("node.id", "body", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, spans, kept = [], [], []
+            sizes, spans, kept, shared = [], [], [], []
             for body, marked in zip(batch.column(1), batch.column(2), strict=True):
-                text, found = body.as_py(), []
-                for m in marked.as_py() or ():
-                    if found and m["from"] <= found[-1]["to"]:
-                        found[-1]["to"] = max(found[-1]["to"], m["to"] + length)
-                    else:
-                        found.append({"from": m["from"], "to": m["to"] + length})
+                text, marks = body.as_py(), marked.as_py() or []
+                found = _merged([m for m in marks if m["full"]], length)
                 sizes.append(len(text))
                 spans.append(found)
                 cuts = [0, *(x for s in found for x in (s["from"], s["to"])), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
+                shared.append(sum(s["to"] - s["from"] for s in _merged([m for m in marks if not m["full"]], window)))
             kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(shared, pa.int64())], ["id", "n_bytes", "spans", "kept", "n_shared"])
 
-    return joined.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_bytes bigint, spans array<struct<from:bigint,to:bigint>>, kept binary")
+    return joined.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_bytes bigint, spans array<struct<from:bigint,to:bigint>>, kept binary, n_shared bigint")
