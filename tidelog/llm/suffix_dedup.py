@@ -300,15 +300,13 @@ def repeated_starts(texts: DataFrame, *, window: int = WINDOW, length: int = LEN
     return back.select("node", F.transform("spans", place).alias("spans"))
 
 
-def _merged(marks: list[dict], length: int) -> list[dict]:
-    """Byte spans covered by strings of a length at the marked starts, which ascend."""
-    found: list[dict] = []
-    for m in marks:
-        if found and m["from"] <= found[-1]["to"]:
-            found[-1]["to"] = max(found[-1]["to"], m["to"] + length)
-        else:
-            found.append({"from": m["from"], "to": m["to"] + length})
-    return found
+def _merged(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Byte spans [from, to) that strings of a length cover, their starts being the intervals first to last."""
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(last[order] + length)
+    new = np.flatnonzero(np.append(True, first[1:] > reach[:-1])) if len(first) else np.zeros(0, np.int64)
+    ends = reach[np.append(new[1:], len(first)) - 1] if len(first) else new
+    return list(zip(first[new].tolist(), ends.tolist(), strict=True))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, **options) -> DataFrame:
@@ -317,20 +315,23 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     rows = docs.select(F.struct(F.col(id_col).alias("id"), row_key(text).alias("row")).alias("node"), text.cast("binary").alias("body"))
     texts = rows.select("node", F.lit(1).cast("long").alias("copies"), F.lit(None).cast("int").alias("asked"), "body")
     marks = repeated_starts(texts, length=length, window=window, grams=grams, **options)
-    listed = marks.groupBy(F.col("node").alias("of")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("marks"))
+    listed = marks.groupBy(F.col("node").alias("of")).agg(F.flatten(F.collect_list("spans")).alias("marks"))
     joined = rows.join(listed, rows["node"].eqNullSafe(listed["of"]), "left").select("node.id", "body", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, kept, shared = [], [], [], []
             for body, marked in zip(batch.column(1), batch.column(2), strict=True):
-                text, marks = body.as_py(), marked.as_py() or []
-                found = _merged([m for m in marks if m["full"]], length)
+                text, found, repeated = body.as_py(), [], 0
+                if marked.is_valid:
+                    first, last, full = (marked.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                    found = _merged(first[full], last[full], length)
+                    repeated = sum(b - a for a, b in _merged(first[~full], last[~full], window))
+                cuts = [0, *(x for s in found for x in s), len(text)]
                 sizes.append(len(text))
-                spans.append(found)
-                cuts = [0, *(x for s in found for x in (s["from"], s["to"])), len(text)]
+                spans.append([{"from": a, "to": b} for a, b in found])
                 kept.append(b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
-                shared.append(sum(s["to"] - s["from"] for s in _merged([m for m in marks if not m["full"]], window)))
+                shared.append(repeated)
             kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(shared, pa.int64())], ["id", "n_bytes", "spans", "kept", "n_shared"])
 
