@@ -64,15 +64,60 @@ def test_a_permutation_uses_every_block_once(spark):
 
 def test_shards_get_multinomial_counts(spark):
     quota = spark.createDataFrame([(0, 300, 100), (1, 100, 100)], "rank int, slots bigint, blocks bigint")
-    drawn = mixing.draw_counts(quota, F.lit(10), "seed").collect()
-    totals = Counter()
+    drawn = mixing.multinomial_counts(quota, 400, 10, 40, "seed").collect()
+    by_shard = defaultdict(Counter)
     for r in drawn:
-        totals[r["rank"]] += r["drawn"]
-    assert totals == {0: 300, 1: 100} and len({r["drawn"] for r in drawn}) > 3
+        by_shard[r["shard"]][r["rank"]] += r["drawn"]
+    assert set(by_shard) == set(range(10)) and all(sum(c.values()) == 40 for c in by_shard.values())
+    assert len({c[0] for c in by_shard.values()}) > 3 and 260 < sum(c[0] for c in by_shard.values()) < 340
     slots = mixing.slot_table(quota, shard_slots=40)
     assert slots.groupBy("rank", "block").count().where("rank = 0 AND count <> 3 OR rank = 1 AND count <> 1").count() == 0
 
 
+def test_the_draw_decides_what_is_taken(documents):
+    """Within the bounds a source takes what its shards drew, so other shards take other words."""
+    quota = documents(ROWS).sparkSession.createDataFrame([(0, 100, 400, 200), (1, 100, 100, 100)], "rank int, slots bigint, most bigint, blocks bigint")
+    drawn = mixing.multinomial_counts(quota, 200, 10, 20, "seed").groupBy("rank").sum("drawn").collect()
+    taken = dict(mixing.slot_table(quota, seed="seed", shard_slots=20).groupBy("rank").count().collect())
+    assert taken[0] == max(100, dict(drawn)[0]) and taken[1] == 100
+    totals = set()
+    for shard_slots in (3, 5, 7, 11, 13, 4096):
+        out = Counter()
+        for r in mixing.mix(documents(ROWS), block=8, shard_slots=shard_slots).collect():
+            out[r["source"]] += r["taken"]
+        totals.add(tuple(sorted(out.items(), key=str)))
+    assert len(totals) > 1
+
+
+def test_the_mix_itself(documents):
+    """Slots of every shard with the words of their blocks; they add up to what mix() reports."""
+    rows = [(i, t, "en", s) for i, t, _, s in (r if len(r) > 3 else (*r, "en", "src")[:4] for r in ROWS)]
+    mixed = mixing.mixed_blocks(documents(rows), block=8, shard_slots=16).collect()
+    words, reported = Counter(), Counter()
+    for r in mixed:
+        assert 0 < len(r["words"]) <= 8
+        words[r["source"]] += len(r["words"])
+    told = mixing.mix(documents(rows), block=8, shard_slots=16).collect()
+    for r in told:
+        reported[r["source"]] += r["taken"]
+    assert words == +reported
+    assert len({(r["source"], r["slot"]) for r in mixed}) == len(mixed)
+    known = {s: Counter(w for _, t, _, x in rows if x == s for w in (t or "").split()) for s in {r[3] for r in rows}}
+    for r in mixed:
+        assert all(known[r["source"]][w] for w in r["words"])
+    # an epoch of a source holds each of its words as often as its documents do
+    first = [r for r in mixed if r["source"] == "Z" and r["epoch"] == 0]
+    whole = Counter(w for r in first for w in r["words"])
+    assert whole <= known["Z"]
+
+
+def test_tasks_share_the_slots_of_a_source(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "_TASK_ROWS", 50)
+    quota = documents(ROWS).sparkSession.createDataFrame([(0, 600, 600)], "rank int, slots bigint, blocks bigint")
+    slots = mixing.slot_table(quota, shard_slots=16)
+    assert slots.select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_native_plan(documents):
     plan = mixing.mix(documents(ROWS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
