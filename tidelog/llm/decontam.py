@@ -1,16 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are joined on shared seeds, runs of MIN_MATCH words;
-for each pair that shares one, matches are tiled greedily: running Karp-Rabin hashes
-find matches of a search length, the longest non-overlapping ones are marked, what
-a tile leaves free of a match is queued again by its length, and the search length
-falls until MIN_MATCH. The marked share of the item's words is
-its coverage. Tiles may stand in any order, so a passage that was cut up and
-reordered is found as well.
+Documents and benchmark items are joined on shared seeds, runs of MIN_MATCH words.
+Each pair that shares seeds enough for the coverage asked for is tiled greedily: the
+longest match of free words is found by running Karp-Rabin hashes and marked, again
+and again, until none of MIN_MATCH words is left. Lengths are found by bisection,
+matches of one length are marked in one pass, and a text's words away from the seeds
+are left out, so the work grows with the text even where it repeats itself. The marked
+share of the item's words is its coverage. Tiles may stand in any order, so a passage
+that was cut up and reordered is found as well.
 
 The benchmark is a stated query set: it goes to the executors in blocks of at most
-BLOCK_WORDS words, one pass over the documents a block, so its size is bounded
-whatever the table's. Documents are never shuffled or grouped here.
+BLOCK_WORDS words (and one item), one pass over the documents a block, so what is
+broadcast is bounded whatever the table's size; a block is released after its pass.
+Documents are never shuffled or grouped here.
 
 Defined results
 ---------------
@@ -28,7 +30,6 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ from .common import materialize, row_key
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.8
-BLOCK_WORDS = 200_000
-_FIRST_SEARCH = 20
+BLOCK_WORDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(r"\w+")
 
 
@@ -66,108 +67,141 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tile(text: np.ndarray, item: np.ndarray, starts: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Tiles (start in text, start in item, length); starts: where in text a match may begin or go on."""
-    marked_text, marked_item = bytearray(len(text)), bytearray(len(item))
-    tiles: list[tuple[int, int, int]] = []
-    search = max(min_match, min(_FIRST_SEARCH, len(item)))
-    while True:
-        free = np.concatenate([[0], np.cumsum(np.frombuffer(marked_item, np.uint8), dtype=np.int64)])
-        at_item = defaultdict(list)
-        for j, h in enumerate(rolling(item, search).tolist()):
-            if free[j + search] == free[j]:
-                at_item[h].append(j)
-        found, longest = [], 0
-        inside = starts[starts + search <= len(text)]
-        for i, h in zip(inside.tolist(), _hashes_at(text, inside, search), strict=True):
-            for j in at_item.get(h, ()):
-                k = 0
-                while i + k < len(text) and j + k < len(item) and text[i + k] == item[j + k] and not marked_item[j + k] and not marked_text[i + k]:
-                    k += 1
-                if k >= search:
-                    found.append((-k, i, j))
-                    longest = max(longest, k)
-        if longest > 2 * search:
-            search = longest  # a very long match: look for those alone first
-            continue
-        heapify(found)
-        while found:
-            k, i, j = heappop(found)
-            left = min(_free(marked_text, i, -k), _free(marked_item, j, -k))
-            if left < -k:  # its tail is taken; its head waits among the matches of its length
-                if left >= search:
-                    heappush(found, (-left, i, j))
-                continue
-            marked_item[j : j - k] = marked_text[i : i - k] = b"\1" * -k
-            tiles.append((i, j, -k))
-        if search <= min_match:
-            return tiles
-        search = max(min_match, search // 2)
-
-
-def _free(marked: bytearray, at: int, n: int) -> int:
-    """How many of the n places from at on are free before the first marked one."""
-    end = marked.find(1, at, at + n)
-    return n if end < 0 else end - at
-
-
-def _hashes_at(text: np.ndarray, at: np.ndarray, n: int) -> list[int]:
+def _hashes_at(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin hashes of the runs of n numbers at some places."""
     out = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
             out = out * np.uint64(_BASE) + text[at + i]
-    return out.tolist()
+    return out
+
+
+class _Running:
+    """Karp-Rabin hashes of all runs of any length of numbers; runs over a number below 1 do not count."""
+
+    def __init__(self, numbers: np.ndarray):
+        n = len(numbers)
+        with np.errstate(over="ignore"):
+            powers, self.back = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
+            powers[0] = self.back[0] = 1
+            powers, self.back = np.cumprod(powers, dtype=np.uint64), np.cumprod(self.back, dtype=np.uint64)
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(numbers.astype(np.uint64) * powers[:n], dtype=np.uint64)])
+        self.blocked = np.concatenate([[0], np.cumsum(numbers < 1)])
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the runs of n numbers."""
+        at = np.flatnonzero(self.blocked[n:] == self.blocked[:-n])
+        with np.errstate(over="ignore"):
+            return at, (self.sums[at + n] - self.sums[at]) * self.back[at]
+
+
+def tile(text: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """Tiles (start in text, start in item, length) of greedy string tiling; numbers below 1 match nothing."""
+    text, item = text.astype(np.int64), item.astype(np.int64)
+    tiles: list[tuple[int, int, int]] = []
+    longest = min(len(text), len(item))
+    while longest >= min_match:
+        in_text, in_item = _Running(text), _Running(item)
+
+        def meets(n: int, a: _Running = in_text, b: _Running = in_item) -> bool:
+            return bool(np.isin(b.of(n)[1], a.of(n)[1]).any())
+
+        if not meets(min_match):
+            break
+        low, high = min_match, longest  # the longest match is low at least, high at most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if meets(middle) else (low, middle - 1)
+        places = defaultdict(list)
+        for j, h in zip(*(x.tolist() for x in in_item.of(low)), strict=True):
+            places[h].append(j)
+        at, hashes = in_text.of(low)
+        met = np.isin(hashes, in_item.of(low)[1])
+        free = 0  # where the text is not marked yet
+        for i, h in zip(at[met].tolist(), hashes[met].tolist(), strict=True):
+            if i < free:
+                continue
+            waiting = places[h]
+            while waiting and item[waiting[0] : waiting[0] + low].min() < 1:
+                waiting.pop(0)
+            if waiting and np.array_equal(text[i : i + low], item[waiting[0] : waiting[0] + low]):
+                j = waiting.pop(0)
+                text[i : i + low] = item[j : j + low] = 0
+                tiles.append((i, j, low))
+                free = i + low
+        longest = low - 1
+    return tiles
 
 
 class Benchmark:
-    """A block of items with its seed index."""
+    """A block of items with its seed index: by seed length the sorted hashes of the seeds and the items that hold each."""
 
     def __init__(self, items: list[tuple[object, str | None]], min_match: int = MIN_MATCH):
         self.min_match = min_match
         self.vocabulary = _Vocabulary()
-        self.ids, self.items, self.lengths = [], [], {}
-        seeds = defaultdict(set)
+        self.ids, self.items, hashes = [], [], []
         for item, text in items:
             found = words(text)
             if not found:
                 continue
             numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.uint64)
-            n = min(min_match, len(found))
-            for h in rolling(numbers, n).tolist():
-                seeds[n, h].add(len(self.items))
             self.ids.append(item)
             self.items.append(numbers)
-        self.seeds = dict(seeds)
-        for n in sorted({n for n, _ in seeds}):
-            self.lengths[n] = np.array(sorted(h for m, h in seeds if m == n), np.uint64)
-
-    def coverages(self, text: str | None) -> list[tuple[object, float, int]]:
-        """(item, coverage, tiles) of every item that shares a seed with the text."""
+            hashes.append(rolling(numbers, min(min_match, len(found))))
+        self.seeds, self.item_seeds = {}, [None] * len(self.items)
+        of_length = defaultdict(list)
+        for k, numbers in enumerate(self.items):
+            of_length[min(min_match, len(numbers))].append(k)
+        for n, members in sorted(of_length.items()):
+            seeds = np.unique(np.concatenate([hashes[k] for k in members]))
+            for k in members:
+                self.item_seeds[k] = np.searchsorted(seeds, hashes[k])
+            pairs = np.unique(np.concatenate([np.stack([self.item_seeds[k], np.full(len(hashes[k]), k)], 1) for k in members]), axis=0)
+            self.seeds[n] = seeds, np.searchsorted(pairs[:, 0], np.arange(len(seeds) + 1)), pairs[:, 1].copy()
+
+    def coverages(self, text: str | None, least: float = 0.0) -> list[tuple[object, float, int]]:
+        """(item, coverage, tiles) of every item that shares a seed with the text and may have the least coverage."""
         found = words(text)
         numbers = np.fromiter(map(self.vocabulary.__getitem__, found), np.uint64, len(found))
         known = np.concatenate([[0], np.cumsum(numbers == 0)])
-        hits: dict[int, list[np.ndarray]] = defaultdict(list)
-        for n, seeds in self.lengths.items():
+        best: dict[object, tuple[float, int]] = {}
+        for n, (seeds, bounds, holders) in self.seeds.items():
             if len(found) < n:
                 continue
             at = np.flatnonzero(known[n:] == known[:-n])  # runs of known words only
-            hashes = np.array(_hashes_at(numbers, at, n), np.uint64)
+            hashes = _hashes_at(numbers, at, n)
             place = np.minimum(np.searchsorted(seeds, hashes), len(seeds) - 1)
             same = seeds[place] == hashes
-            by_item = defaultdict(list)
-            for i, h in zip(at[same].tolist(), hashes[same].tolist(), strict=True):
-                for item in self.seeds[n, h]:
-                    by_item[item].append(i)
-            for item, starts in by_item.items():
-                hits[item].append(np.array(starts))
-        best: dict[object, tuple[float, int]] = {}
-        for item, starts in sorted(hits.items()):
-            tiles = tile(numbers, self.items[item], np.concatenate(starts), min(self.min_match, len(self.items[item])))
-            coverage = sum(k for _, _, k in tiles) / len(self.items[item])
-            best[self.ids[item]] = max(best.get(self.ids[item], (0.0, 0)), (coverage, len(tiles)))
+            if not same.any():
+                continue
+            at, place = at[same], place[same]
+            here = np.zeros(len(seeds), bool)
+            here[place] = True
+            for k in np.unique(np.concatenate([holders[bounds[x] : bounds[x + 1]] for x in np.flatnonzero(here)])).tolist():
+                own, size = self.item_seeds[k], len(self.items[k])
+                if _reach(np.flatnonzero(here[own]), n).sum() < least * size - 1e-9:
+                    continue  # words that no shared seed covers are in no tile
+                of_item = np.zeros(len(seeds), bool)
+                of_item[own] = True
+                tiles = tile(_around(numbers, at[of_item[place]], n), self.items[k], n)
+                coverage = sum(x for _, _, x in tiles) / size
+                best[self.ids[k]] = max(best.get(self.ids[k], (0.0, 0)), (coverage, len(tiles)))
         return [(item, *v) for item, v in best.items()]
 
 
+def _reach(starts: np.ndarray, n: int) -> np.ndarray:
+    """How many places each run of n from the ascending starts adds to those before it."""
+    return np.minimum(n, np.diff(starts, prepend=-n))
+
+
+def _around(numbers: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """The numbers that runs of n from the starts cover, a zero between parts that do not touch."""
+    added = _reach(starts, n)
+    gap = np.diff(starts, prepend=starts[0]) > n
+    at = np.repeat(starts + n - added, added) + np.arange(added.sum()) - np.repeat(np.cumsum(added) - added, added)
+    return np.insert(numbers[at], np.repeat(np.cumsum(added) - added, gap), 0)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, row, item, coverage, tiles) of every document and item with coverage enough."""
     spark = docs.sparkSession
@@ -182,20 +216,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     item_type = items.select("item").limit(0).toArrow().schema.field(0).type
 
     def scan(block: int) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Benchmark([(r["item"], r["text"]) for r in dealt.where(F.col("block") == block).select("item", "text").collect()], min_match))
+        held = [(r["item"], r["text"]) for r in dealt.where(F.col("block") == block).select("item", "text").toLocalIterator()]
+        shared = spark.sparkContext.broadcast(Benchmark(held, min_match))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
                 out = []
                 for i, value in enumerate(batch.column(2)):
-                    for item, coverage, tiles in index.coverages(value.as_py()):
+                    for item, coverage, tiles in index.coverages(value.as_py(), min_coverage):
                         if coverage >= min_coverage - 1e-9:
                             out.append((i, item, coverage, tiles))
                 at = pa.array([o[0] for o in out], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([o[1] for o in out], item_type), pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], pa.int32())], ["id", "row", "item", "coverage", "tiles"])
 
-        return rows.mapInArrow(run, schema)
+        pairs = materialize(rows.mapInArrow(run, schema), "contaminated-pairs")
+        shared.destroy()
+        return pairs
 
     out = scan(0)
     for block in range(1, blocks):
