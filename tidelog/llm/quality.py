@@ -1,12 +1,10 @@
 """Quality rules: per-document counts, and cross-document line frequency a host.
 
 Normalised lines are hashed, the distinct documents that hold each are counted a
-host, lines above the limit are removed, and a document left with too few of its
-words is rejected. A line stays in its first document, so a group of near copies
-never vanishes whole; exact copies count as one document.
-
-The limit is a share of the host's documents (and at least a number), so it means
-the same at any input size.
+host, lines in more than LINE_MAX_DOCS documents of a host are removed, and a document
+left with too few of its words is rejected. A line stays in its first document, so of a
+group of copies that fills a host one stays. The limit is a number of documents, so
+what is boilerplate in a small host is boilerplate in a large one.
 
 Defined results
 ---------------
@@ -25,12 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, hash_pair, lower_ascii, materialize, row_key, strip_ascii, unnested, without_lines
 
+WORD = "[^\\x20\\x09-\\x0D]+"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-#: A line is boilerplate in a host if at least so many documents, and at least such a share of them, hold it.
-LINE_MIN_DOCS = 10
-LINE_MAX_SHARE = 0.1
+#: A line is boilerplate in a host if more documents than these hold it.
+LINE_MAX_DOCS = 20
 #: A document is depleted if its remaining lines have less than this share of its words.
 MIN_KEPT_SHARE = 0.2
 
@@ -104,65 +102,41 @@ def base_failed() -> Column:
     return (F.col("__n_words") < MIN_WORDS) | (F.lit(100) * F.col("__n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("__n_words"))
 
 
-def _marked_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, max_share: float, *place: str) -> DataFrame:
-    """(id, host, text_key, words, gone) and, if asked, pos of every line with words; gone: removed here."""
+def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = LINE_MAX_DOCS) -> DataFrame:
+    """(id, row, lost, gone): the words and the positions of removed lines, for documents that lose any."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), body.alias("body"), row_key(body).alias("text_key"))
-    split = F.split("body", "\n", -1)
-    lines = rows.select("id", "host", "text_key", F.posexplode(split).alias("pos", "line") if place else F.explode(split).alias("line"))
-    lines = lines.select("id", "host", "text_key", *place, lower_ascii(strip_ascii(F.col("line"))).alias("line")).where("line != ''")
+    lines = rows.select("id", "host", "text_key", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
+    lines = lines.select("id", "host", "text_key", "pos", lower_ascii(strip_ascii(F.col("line"))).alias("line")).where("line != ''")
     h1, h2 = hash_pair(F.col("line"))
-    words = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    index = materialize(lines.select("id", "host", "text_key", *place, h1.alias("h1"), h2.alias("h2"), words.alias("words")), "quality-lines")
-    texts = rows.groupBy("host").agg(F.count_distinct("text_key").alias("texts"))
-    frequent = (
-        index.groupBy("host", "h1", "h2")
-        .agg(F.count_distinct("text_key").alias("documents"), F.min("id").alias("first"))
-        .where(F.col("documents") >= min_docs)
-    )
-    frequent = frequent.join(texts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-    removed = frequent.where(F.col("documents") > max_share * F.col("texts")).select(F.col("host").alias("of"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
-    hit = index.join(removed, F.col("host").eqNullSafe(F.col("of")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
-    gone = F.col("k1").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return hit.select("id", "host", "text_key", *place, "words", gone.alias("gone"))
-
-
-def _shares(marked: DataFrame, *more: Column) -> DataFrame:
-    return (
-        marked.groupBy("id", "host", "text_key")
-        .agg(F.sum(F.when(F.col("gone"), 0).otherwise(F.col("words"))).alias("kept"), F.sum("words").alias("all"), *more)
-        .where("kept < all")
-        .withColumns({"row": row_key(F.col("host"), F.col("text_key")), "share": F.col("kept") / F.col("all")})
-    )
-
-
-def kept_shares(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
-    """(id, row, share): the share of words in lines that stay, for documents that lose any."""
-    return _shares(_marked_lines(docs, id_col, text_col, host_col, min_docs, max_share)).select("id", "row", "share")
-
-
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_kept_share: float = MIN_KEPT_SHARE, **limits) -> DataFrame:
-    """A row a document: __id, __row, the counts, __base_failed, __kept_share and __kept."""
-    return _judged(docs, kept_shares(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits), id_col, text_col, host_col, min_kept_share)
-
-
-def _judged(docs: DataFrame, shares: DataFrame, id_col: str, text_col: str, host_col: str, min_kept_share: float) -> DataFrame:
+    words = F.regexp_count("line", F.lit(WORD))
+    index = materialize(lines.select("id", "host", "text_key", "pos", h1.alias("h1"), h2.alias("h2"), words.alias("words")), "quality-lines")
+    frequent = index.groupBy("host", "h1", "h2").agg(F.count_distinct(F.struct("id", "text_key")).alias("documents"), F.min("id").alias("first"))
+    frequent = frequent.where(F.col("documents") > max_docs).select(F.col("host").alias("of"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
+    # as a table of its own the join has an exchange on both sides, so a hot line's rows are split
+    frequent = materialize(frequent, "frequent-lines")
+    hit = index.join(frequent, F.col("host").eqNullSafe(F.col("of")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    hit = hit.where(~F.col("id").eqNullSafe(F.col("first")))
+    places = hit.groupBy("id", "host", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "words"))).alias("places"))
+    lost = F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    return places.select("id", row_key(F.col("host"), F.col("text_key")).alias("row"), lost.alias("lost"), F.col("places.pos").alias("gone"))
+
+
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_kept_share: float = MIN_KEPT_SHARE, max_docs: int = LINE_MAX_DOCS) -> DataFrame:
+    """A row a document: __id, __row, the counts, __base_failed, __kept_share, __kept and __gone (positions of removed lines, else null)."""
+    removed = removed_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, max_docs=max_docs)
     text_key = row_key(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     narrow = docs.select(F.col(id_col).alias("__id"), row_key(F.col(host_col).cast("string"), text_key).alias("__row"), F.col(text_col).alias("__text"))
     counts = text_counts(narrow, "__text").drop("__text").withColumn("__base_failed", base_failed())
-    out = counts.join(shares, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__row") == F.col("row")), "left")
-    share = F.coalesce("share", F.lit(1.0))
-    more = [F.col("gone").alias("__gone")] if "gone" in shares.columns else []
-    return out.select(*counts.columns, share.alias("__kept_share"), (~F.col("__base_failed") & (share >= min_kept_share)).alias("__kept"), *more)
+    out = counts.join(removed, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__row") == F.col("row")), "left")
+    share = F.when(F.col("lost").isNull(), F.lit(1.0)).otherwise((F.col("__n_words") - F.col("lost")) / F.col("__n_words"))
+    return out.select(*counts.columns, share.alias("__kept_share"), (~F.col("__base_failed") & (share >= min_kept_share)).alias("__kept"), F.col("gone").alias("__gone"))
 
 
-def keep_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_kept_share: float = MIN_KEPT_SHARE, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
+def keep_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The documents that pass, with all their columns and without the lines that are removed."""
-    # null where a line stays, so only the places of removed lines are gathered
-    places = F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("pos"))))
-    shares = _shares(_marked_lines(docs, id_col, text_col, host_col, min_docs, max_share, "pos"), places.alias("gone"))
-    shares = materialize(shares.select("id", "row", "share", "gone"), "quality-shares")
-    verdicts = _judged(docs, shares, id_col, text_col, host_col, min_kept_share).where("__kept").select("__id", "__row", "__gone").dropDuplicates(["__id", "__row"])
+    verdicts = judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
+    verdicts = verdicts.where("__kept").select("__id", "__row", "__gone").dropDuplicates(["__id", "__row"])
     text_key = row_key(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     keyed = docs.withColumn("__key", row_key(F.col(host_col).cast("string"), text_key))
     joined = keyed.join(verdicts, keyed[id_col].eqNullSafe(verdicts["__id"]) & (keyed["__key"] == verdicts["__row"]))

@@ -76,17 +76,13 @@ covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnes
 l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
 filled AS (SELECT doc_id, source, text, line, {_KEY} AS key FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM filled GROUP BY doc_id),
-texts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-frequent AS (SELECT source, key, count(DISTINCT text) AS documents, min(doc_id) AS first FROM filled GROUP BY source, key),
-removed AS (SELECT f.source, key, first FROM frequent f JOIN texts t ON f.source IS NOT DISTINCT FROM t.source
-            WHERE documents >= {quality.LINE_MIN_DOCS} AND documents > {quality.LINE_MAX_SHARE} * texts),
-weighed AS (SELECT doc_id, length(x.key) - length(replace(x.key, ' ', '')) + 1 AS words, coalesce(r.first <> doc_id, false) AS gone
-            FROM filled x LEFT JOIN removed r ON x.source IS NOT DISTINCT FROM r.source AND x.key = r.key),
-share AS (SELECT doc_id, CAST(coalesce(sum(words) FILTER (NOT gone), 0) AS DOUBLE) / sum(words) AS share FROM weighed GROUP BY doc_id),
+frequent AS (SELECT source, key, min(doc_id) AS first FROM filled GROUP BY source, key HAVING count(DISTINCT doc_id) > {quality.LINE_MAX_DOCS}),
+lost AS (SELECT doc_id, sum(len(regexp_extract_all(x.key, '[^\x20\x09-\x0D]+'))) AS words
+         FROM filled x JOIN frequent f ON x.source IS NOT DISTINCT FROM f.source AND x.key = f.key WHERE f.first <> doc_id GROUP BY doc_id),
 counted AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
                    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
-                   coalesce(covered.n, 0) AS n_repeat_words, coalesce(share, 1.0) AS kept_share
-            FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN share USING (doc_id))
+                   coalesce(covered.n, 0) AS n_repeat_words, CASE WHEN lost.words IS NULL THEN 1.0 ELSE CAST(len(w) - lost.words AS DOUBLE) / len(w) END AS kept_share
+            FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
        NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND kept_share >= {quality.MIN_KEPT_SHARE} AS kept
 FROM counted
