@@ -47,9 +47,8 @@ def test_fingerprints_equal_spark_hashes(spark):
 
 
 @pytest.mark.parametrize("limit", [64, 2])
-def test_links_connect_what_pairs_connect(spark, monkeypatch, limit):
-    """Chains, dense clusters and strangers; with a posting limit of 2 nearly all go by centres."""
-    monkeypatch.setattr(simhash, "POSTING_LIMIT", limit)
+def test_links_connect_what_pairs_connect(spark, limit):
+    """Chains, dense clusters and strangers."""
     draw = random.Random(limit)
     prints = [draw.getrandbits(64) for _ in range(40)]
     for _ in range(160):
@@ -60,7 +59,8 @@ def test_links_connect_what_pairs_connect(spark, monkeypatch, limit):
     prints = sorted(set(prints))
     df = spark.createDataFrame([(signed(p),) for p in prints], "fp bigint")
     edges = [(r["a"], r["b"]) for r in simhash.links(df).collect()]
-    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in edges)
+    alike = {(a, b) for a, b in itertools.combinations(sorted(map(signed, prints)), 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    assert set(edges) == alike and len(edges) == len(alike)
     index = {signed(p): i for i, p in enumerate(prints)}
     roots = {index[r["node"]]: index[r["root"]] for r in components(simhash.links(df)).collect()}
     want = brute_groups(prints)
@@ -68,6 +68,20 @@ def test_links_connect_what_pairs_connect(spark, monkeypatch, limit):
     assert groups(lambda i: roots.get(i, i)) == groups(lambda i: want[i])
 
 
+def test_a_pair_meets_by_the_bytes_that_it_shares():
+    """In 1, 7 or 28 postings as it shares 6, 7 or 8 positional bytes, in none as it shares fewer."""
+    for differing, want in ((0x00, 28), (0x01, 7), (0x8000000000000000, 7), (0x0101, 1), (0x80000001, 1), (0x010101, 0)):
+        assert sum(differing & mask == 0 for mask in simhash.LAYOUTS) == want
+
+
+def test_a_dense_posting(spark):
+    """All values of twelve bits in two bytes: every pair of a posting is looked at, only near ones leave."""
+    df = spark.range(1 << 12).select((F.col("id") + (1 << 40)).alias("fp"))
+    edges = simhash.links(df)
+    assert edges.count() == (1 << 12) * (12 + 66) // 2
+    assert components(edges).select("root").distinct().count() == 1
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -1,19 +1,17 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at
-most two bits share at least six of them. A posting of one positional byte would
-hold one in 256 of all fingerprints, and its pairs would grow with the square of
-the input, so a posting is keyed by four positional bytes at once: with the bytes
-taken in four pairs, two differing bytes leave at least two pairs untouched, and
-the six layouts of two pairs cover every case. Fingerprints that meet in a posting
-are tallied over all eight positional bytes; pairs that reach six are verified on
-their bits.
-
-Exact copies are first merged to distinct fingerprints. A posting above
-POSTING_LIMIT is never paired: each member is sent to itself and its 32 one-bit
-variants outside the key, and members that share such a centre, so at most two
-bits apart, are linked to the least of them. That loses no link and grows with
-the members, not their square.
+most two bits share at least MIN_SHARED_BYTES = 6 of them. Postings of one positional
+byte, tallied a pair, would hold one in 256 of all fingerprints each, and their pairs
+would grow with the square of the input. So the tally is folded into the key: a posting
+is keyed by six positional bytes, one of the 28 ways to choose them, and a pair meets in
+1, 7 or 28 postings as it shares 6, 7 or 8 bytes - and in none if it shares fewer, which
+is the count filter. Pairs that meet are verified on their bits, inside the posting.
+
+Exact copies are first merged to distinct fingerprints. Those of a posting differ in
+two bytes, so a posting has 65,536 members at most, whatever the input's size, and one
+member per distinct pair of bytes; the one path holds for groups of any size. Only
+verified pairs leave a posting.
 
 Defined results
 ---------------
@@ -29,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +42,9 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
 MIN_SHARED_BYTES = 8 - MAX_BITS
-POSTING_LIMIT = 64
 _CHUNK = 1 << 18
-#: Pairs of byte positions, and the layouts of two pairs.
-_PAIRS = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, 0xFFFF << 48)
-LAYOUTS = tuple(_PAIRS[i] | _PAIRS[j] for i in range(4) for j in range(i + 1, 4))
+#: Every choice of the positional bytes that a pair must share.
+LAYOUTS = tuple(sum(0xFF << 8 * b for b in chosen) for chosen in combinations(range(8), MIN_SHARED_BYTES))
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -86,34 +83,16 @@ def _literal(mask: int) -> Column:
     return F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight positional bytes two fingerprints share."""
-    differing = a.bitwiseXOR(b)
-    tally = F.lit(0)
-    for i in range(8):
-        tally = tally + (differing.bitwiseAND(_literal(0xFF << 8 * i)) == 0).cast("int")
-    return tally
-
-
 def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fp at most two bits apart; they connect whatever such pairs connect."""
+    """Every pair (a, b) of distinct fingerprints fp at most two bits apart, a below b."""
     layout = F.explode(F.array(*[_literal(m) for m in LAYOUTS]))
     postings = distinct.select("fp", layout.alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    sizes = postings.groupBy("mask", "key").agg(F.count("*").alias("members")).where("members > 1")
-    met = postings.join(sizes, ["mask", "key"])
-
-    small = met.where(F.col("members") <= POSTING_LIMIT).groupBy("mask", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    first = small.select("fps", F.posexplode("fps").alias("i", "a"))
-    pairs = first.select("a", F.explode(F.expr(f"filter(slice(fps, i + 2, {POSTING_LIMIT}), b -> bit_count(a ^ b) <= 8)")).alias("b"))
-    pairs = pairs.where((_shared_bytes(F.col("a"), F.col("b")) >= MIN_SHARED_BYTES) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
-
-    flips = F.array(F.lit(0), *[_literal(1 << i) for i in range(64)])
-    outside = F.filter(flips, lambda bit: bit.bitwiseAND(F.col("mask")) == 0)
-    centred = met.where(F.col("members") > POSTING_LIMIT).select("fp", F.explode(outside).alias("flip"))
-    centred = centred.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre")).distinct()
-    least = centred.groupBy("centre").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    stars = centred.join(least, "centre").where("fp != least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    return pairs.union(stars).distinct()
+    postings = postings.repartition("mask", "key")  # serves the count and the join
+    shared = postings.groupBy("mask", "key").agg(F.count("*").alias("members")).where("members > 1")
+    met = postings.join(shared, ["mask", "key"]).groupBy("mask", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    first = met.select("fps", F.posexplode("fps").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.expr(f"filter(slice(fps, i + 2, size(fps)), b -> bit_count(a ^ b) <= {MAX_BITS})")).alias("b"))
+    return pairs.distinct()
 
 
 def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

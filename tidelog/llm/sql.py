@@ -26,15 +26,17 @@ FROM d GROUP BY doc_id
 """
 
 _PLACE = " ".join(f"WHEN {' AND '.join(f'w[i + {n}] = {_quoted(x)}' for n, x in enumerate(phrase.split(), 1))} THEN {_quoted(label)}" for phrase, label in license.PHRASES)
-_TEMPLATES = ", ".join(f"({_quoted(label)}, {_quoted(text)})" for label, text in license.TEMPLATES)
+_TEMPLATES = ", ".join(f"({n}, {_quoted(label)}, {license.width_of(text)}, {_quoted(text)})" for n, (label, text) in enumerate(license.TEMPLATES))
 LICENSE_SCANS = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body, {_LICENSE_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
 p AS (SELECT doc_id, i, CASE {_PLACE} END AS label FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d)),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, array_sort(array_agg(DISTINCT label)) AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id),
-t AS (SELECT label, list_distinct({_LICENSE_WORDS.format(text="notice")}) AS words FROM (VALUES {_TEMPLATES}) x(label, notice)),
-b AS (SELECT doc_id, list_distinct({_LICENSE_WORDS.format(text="line")}) AS words FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM d)),
-m AS (SELECT doc_id, label, len(list_intersect(b.words, t.words)) / len(t.words) AS share FROM b, t),
-found AS (SELECT doc_id, array_agg(DISTINCT label) AS labels, max(share) AS share FROM m WHERE share >= {license.THRESHOLD} GROUP BY doc_id)
+t AS (SELECT n, label, width, list_distinct({_LICENSE_WORDS.format(text="notice")}) AS words FROM (VALUES {_TEMPLATES}) x(n, label, width, notice)),
+tw AS (SELECT n, label, width, len(words) AS size, unnest(words) AS word FROM t),
+b AS (SELECT DISTINCT doc_id, n, label, size, word, unnest([pos // width, pos // width - 1]) AS block
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d) JOIN tw USING (word)),
+m AS (SELECT doc_id, label, count(*) / size AS share FROM b GROUP BY doc_id, n, label, size, block),
+found AS (SELECT doc_id, array_agg(DISTINCT label) AS labels, max(share) AS share FROM m WHERE share >= {license.THRESHOLD} - 1e-9 GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word,
        coalesce(array_to_string(base.labels, ','), '') AS base_labels,
        coalesce(array_to_string(array_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
