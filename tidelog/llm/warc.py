@@ -4,7 +4,11 @@ An archive is a ZIP file of stored (method 0) members: ``archive/data.warc.gz``,
 gzip member a record, and ``indexes/index.cdxj``, a line a record with its offset
 and length inside that member. The reader finds the end-of-central-directory
 record, follows the ZIP64 locator where there is one, parses the central directory,
-and then reads each record by its byte range alone; nothing is extracted.
+and then reads each record by its byte range alone; nothing is extracted. Archives are
+opened on their store and read at offsets, so one of any size can be read: a first pass
+reads directories and indexes, the index lines are dealt over tasks by place, and each
+task reads its ranges, those that touch in one request. The writer always adds the
+ZIP64 records.
 
 Archives are written by Spark's own text writer, a record a file, so they land on
 any store that Spark knows, under its commit protocol: a lost task leaves no half
@@ -26,12 +30,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +45,8 @@ from .common import materialize, new_path
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 8 << 20
+#: Index lines whose ranges touch are read together up to so many bytes.
+REQUEST_BYTES = 1 << 20
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the ZIP format: signatures, sizes and markers.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -172,20 +180,41 @@ def pack(records: Iterator[tuple[object, str, bytes, str, object]], archive_byte
         index.append(json.dumps({"url": _quoted(url), "offset": len(warc), "length": len(one), "digest": f"sha256:{digest}"}))
         warc += one
         if len(warc) >= archive_bytes:
-            yield zip_archive([(WARC_MEMBER, bytes(warc)), (INDEX_MEMBER, "\n".join(index).encode())], comment_length=1)
+            yield zip_archive([(WARC_MEMBER, bytes(warc)), (INDEX_MEMBER, "\n".join(index).encode())], comment_length=1, zip64=True)
             warc, index = bytearray(), []
     if index:
-        yield zip_archive([(WARC_MEMBER, bytes(warc)), (INDEX_MEMBER, "\n".join(index).encode())], comment_length=1)
+        yield zip_archive([(WARC_MEMBER, bytes(warc)), (INDEX_MEMBER, "\n".join(index).encode())], comment_length=1, zip64=True)
 
 
-def read_records(read: Read, total: int) -> Iterator[Record]:
-    """Records of an archive, each by the byte range that the index gives."""
+def index_entries(read: Read, total: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) in the archive of every record, from its index."""
     members = {m.name: m for m in read_directory(read, total)}
     data = data_offset(read, members[WARC_MEMBER])
     index = members[INDEX_MEMBER]
     for line in read(data_offset(read, index), index.size).decode().split("\n"):
         entry = json.loads(line)
-        yield parse_record(gzip.decompress(read(data + entry["offset"], entry["length"])))
+        yield data + entry["offset"], entry["length"]
+
+
+def read_ranges(read: Read, entries: list[tuple[int, int]], request_bytes: int = REQUEST_BYTES) -> Iterator[Record]:
+    """The records at ascending (offset, length), those that touch read in one request of about request_bytes at most."""
+    at = 0
+    while at < len(entries):
+        to, size = at + 1, entries[at][1]
+        while to < len(entries) and entries[to][0] == entries[at][0] + size and size + entries[to][1] <= request_bytes:
+            size += entries[to][1]
+            to += 1
+        raw = read(entries[at][0], size)
+        for offset, length in entries[at:to]:
+            start = offset - entries[at][0]
+            yield parse_record(gzip.decompress(raw[start : start + length]))
+        at = to
+
+
+def opened(uri: str) -> pa.NativeFile:
+    """A file of any store that pyarrow opens, for reads at offsets."""
+    store, name = pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+    return store.open_input_file(name)
 
 
 # ---------------------------------------------------------------- Spark
@@ -199,10 +228,11 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     known = rows.join(firsts, rows["digest"] == firsts["of"], "left")
     refers_to = F.when(~F.col("page").eqNullSafe(F.col("first")), F.col("first"))
     known = known.select("page", "url", "payload", "digest", refers_to.alias("refers_to"))
+    archive_bytes = ARCHIVE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = (tuple(v.as_py() for v in row) for b in batches for row in zip(*b.columns, strict=True))
-        for archive in pack(records):
+        for archive in pack(records, archive_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], ["value"])
 
     archives = known.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -218,23 +248,37 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
         name = (urn or "").strip("<>").removeprefix(_URN)
         return None if not name else int(name) if number else name
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with opened(uri) as file:
+                    entries = list(index_entries(lambda at, n, file=file: file.read_at(n, at), total))
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(entries)), pa.array([e[0] for e in entries], pa.int64()), pa.array([e[1] for e in entries], pa.int64())], ["path", "offset", "length"])
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = pa.int64() if number else pa.string()
+        kinds = pa.schema([("page_id", key), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", key), ("url", pa.string())])
         for batch in batches:
-            for value in batch.column(0):
-                view = memoryview(value.as_buffer())
-                rows = []
-                for r in read_records(lambda at, n, view=view: bytes(view[at : at + n]), len(view)):
-                    digest, kind = r.headers["WARC-Payload-Digest"].removeprefix("sha256:"), r.headers["WARC-Type"]
-                    size = int(r.http["Content-Length"])
-                    if kind == "response":
-                        if len(r.payload) != size or hashlib.sha256(r.payload).hexdigest() != digest:
+            by_file: dict[str, list[tuple[int, int]]] = {}
+            for uri, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by_file.setdefault(uri, []).append((offset, length))
+            rows = []
+            for uri, entries in by_file.items():
+                with opened(uri) as file:
+                    for r in read_ranges(lambda at, n, file=file: file.read_at(n, at), entries):
+                        digest, kind = r.headers["WARC-Payload-Digest"].removeprefix("sha256:"), r.headers["WARC-Type"]
+                        size = int(r.http["Content-Length"])
+                        if kind == "response" and (len(r.payload) != size or hashlib.sha256(r.payload).hexdigest() != digest):
                             raise ValueError(f"{r.headers['WARC-Record-ID']}: the payload does not match its digest")
-                    rows.append({"page_id": page(r.headers["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page(r.headers.get("WARC-Refers-To")), "url": r.headers["WARC-Target-URI"]})
-                key = pa.int64() if number else pa.string()
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", key), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", key), ("url", pa.string())]))
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, schema)
+                        rows.append({"page_id": page(r.headers["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page(r.headers.get("WARC-Refers-To")), "url": r.headers["WARC-Target-URI"]})
+            yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    # of a binary file only path and length are asked for, so its content is not read here
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length")
+    tasks = max(1, -(-(files.agg(F.sum("length")).first()[0] or 0) // ARCHIVE_BYTES))
+    entries = files.repartition(tasks).mapInArrow(listed, "path string, offset bigint, length bigint")
+    entries = materialize(entries, "warc-index").repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
+    return entries.mapInArrow(records, schema)
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
