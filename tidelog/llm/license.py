@@ -152,8 +152,7 @@ def word_places(docs: DataFrame, vocabulary: list[str], *, id_col: str = "doc_id
 
 def block_matches(places: DataFrame, templates: DataFrame, widths: list[int]) -> DataFrame:
     """(node, template, label, containment) of every template that a block of the node's text matches; the best block counts."""
-    hits = places.select("node", F.explode("hits").alias("hit")).select("node", "hit.pos", "hit.word")
-    counts = hits.groupBy(F.col("word").alias("of")).agg(F.count("*").alias("n"))
+    counts = places.select(F.explode("hits.word").alias("of")).groupBy("of").agg(F.count("*").alias("n"))
     vocabulary = templates.select("word").distinct().join(counts, F.col("word") == F.col("of"), "left")
     ranks = vocabulary.select(F.col("word").alias("of"), (F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "word")) - 1).alias("rank"))
     ranked = materialize(templates.join(ranks, F.col("word") == F.col("of")).drop("of"), "license-words")
@@ -162,14 +161,15 @@ def block_matches(places: DataFrame, templates: DataFrame, widths: list[int]) ->
     prefix = materialize(prefix, "license-prefixes")
     by_word = ranked.select("word", "rank").distinct()
 
-    # blocks that hold a prefix word of a template of their width
+    # blocks that hold a prefix word of a template of their width; what is broadcast has a row a vocabulary word and width at most
+    wanted = materialize(prefix.select("rank", "width").distinct().join(by_word, "rank").select(F.col("word").alias("of"), "width"), "license-wanted")
+    rare = [r["of"] for r in wanted.select("of").distinct().collect()]
     blocks_of = lambda width: F.explode(F.array(F.floor(F.col("pos") / width), F.floor(F.col("pos") / width) - 1)).alias("block")
-    wanted = prefix.select("rank", "width").distinct().join(by_word, "rank").select(F.col("word").alias("of"), "width")
-    candidates = hits.join(wanted, F.col("word") == F.col("of")).select("node", "width", blocks_of(F.col("width"))).distinct()
+    found = places.select("node", F.explode(F.filter("hits", lambda h: h["word"].isin(rare))).alias("hit")).select("node", "hit.pos", "hit.word")
+    candidates = found.join(F.broadcast(wanted), F.col("word") == F.col("of")).select("node", "width", blocks_of(F.col("width"))).distinct()
     candidates = materialize(candidates, "license-blocks")
-    near = candidates.select(F.col("node").alias("in")).distinct()
-    inside = places.join(near, F.col("node") == F.col("in"), "left_semi").select("node", F.explode("hits").alias("hit")).select("node", "hit.pos", "hit.word")
-    inside = inside.join(by_word, "word").select("node", "pos", "rank", F.explode(F.array(*map(F.lit, widths))).alias("width"))
+    inside = places.where(F.exists("hits", lambda h: h["word"].isin(rare))).select("node", F.explode("hits").alias("hit")).select("node", "hit.pos", "hit.word")
+    inside = inside.join(F.broadcast(by_word), "word").select("node", "pos", "rank", F.explode(F.array(*map(F.lit, widths))).alias("width"))
     inside = inside.select("node", "rank", "width", blocks_of(F.col("width")))
     sets = inside.join(candidates, ["node", "width", "block"]).groupBy("node", "width", "block").agg(F.array_sort(F.collect_set("rank")).alias("sorted"))
 
