@@ -103,7 +103,10 @@ class Block:
         left = self.ends[owner] - order
         most = np.minimum(np.minimum(left[:-1], left[1:]), length)
         out = np.zeros(len(a), np.int64)
-        going = np.arange(len(a))
+        text = self.text
+        whole = np.array([text[x : x + length] == text[y : y + length] for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+        out[whole] = length
+        going = np.flatnonzero(~whole)
         for at in range(0, length, 8):
             differ = eights[a[going] + at] ^ eights[b[going] + at]
             ended = np.flatnonzero(differ)
@@ -111,8 +114,7 @@ class Block:
                 low = differ[ended] & (~differ[ended] + np.uint64(1))  # the lowest bit that differs tells the byte
                 out[going[ended]] = at + np.log2(low.astype(np.float64)).astype(np.int64) // 8
             going = going[differ == 0]
-            out[going] = at + 8
-            going = going[most[going] > at + 8]
             if not len(going):
                 break
+        out[going] = length
         return np.minimum(out, most).astype(np.int32)

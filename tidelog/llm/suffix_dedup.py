@@ -11,7 +11,7 @@ that agree on their first WINDOW bytes always meet:
 2. Equal fragments (a run's starts and LENGTH - 1 bytes more) of a key are merged to
    one with a count. Only one text of each distinct fragment is read again.
 3. The distinct fragments of a key are suffix-sorted together by :mod:`.suffix`, a
-   fragment that has copies standing in twice, and the common prefixes of neighbours
+   fragment that has copies counting as often, and the common prefixes of neighbours
    tell for every start how long a string from there occurs elsewhere.
 4. A key whose distinct fragments do not fit a block is dealt once more in the same
    way, its fragments being the texts, by the next of GRAMS. The last gram is the
@@ -217,27 +217,29 @@ def _fragments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def mark_block(fragments: list[bytes], asked: list[int], copies: list[int], window: int, length: int) -> list[list[tuple[int, int, bool]]]:
     """For each fragment the intervals of its first asked[i] starts that repeat on `length` bytes (True) and on `window` (False).
 
-    Of equal strings all but one would do; a fragment that has copies stands in the block twice.
+    The array has every distinct suffix once. A suffix of a fragment that has copies stands
+    beside its equals, so its common prefix with a neighbour is all of it.
     """
-    twice = [i for i, n in enumerate(copies) if n > 1]
-    block = Block(fragments + [fragments[i] for i in twice], asked + [asked[i] for i in twice])
+    block = Block(fragments, asked)
     order = block.order(length)
     shared = block.common_prefixes(order, length)
     longest = np.zeros(len(block.codes), np.int32)
-    np.maximum.at(longest, order[:-1], shared)
-    np.maximum.at(longest, order[1:], shared)
-    out = []
-    for at, n in zip(block.starts[: len(fragments)].tolist(), asked, strict=True):
-        of = longest[at : at + n]
-        out.append([(a, b, full) for full, least in ((True, length), (False, window)) for a, b in _intervals(of >= least)])
+    longest[order[:-1]] = shared
+    longest[order[1:]] = np.maximum(longest[order[1:]], shared)
+    rest = np.where(np.array(copies) > 1, np.minimum(block.ends, np.iinfo(np.int32).max), 0)
+    at = np.arange(len(block.codes))
+    longest = np.maximum(longest, np.where(block.asked, np.repeat(rest, block.ends - block.starts + 1) - at, 0))
+    out: list[list[tuple[int, int, bool]]] = [[] for _ in fragments]
+    for full, least in ((True, length), (False, window)):
+        # starts asked for in two fragments never touch: a sentinel lies between
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (block.asked & (longest >= least)).view(np.int8), [0]])))
+        owner = np.searchsorted(block.starts, edges[::2], "right") - 1
+        base = block.starts[owner]
+        for f, a, b in zip(owner.tolist(), (edges[::2] - base).tolist(), (edges[1::2] - base - 1).tolist(), strict=True):
+            out[f].append((a, b, full))
     return out
 
 
-def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
-
-
 def _marks(fragments: DataFrame, window: int, length: int, block_bytes: int) -> DataFrame:
     """(key, digest, spans) of every fragment with repeated starts; the fragments of a key stand together."""
 
@@ -279,8 +281,7 @@ def repeated_starts(texts: DataFrame, *, window: int = WINDOW, length: int = LEN
 
     distinct = going.groupBy("key", "digest", "starts").agg(F.sum("copies").alias("copies"), F.min(F.struct("node", "start")).alias("at"))
     distinct = materialize(distinct, "suffix-distinct")
-    size = (F.col("starts") + (length - 1)) * F.least("copies", F.lit(2))
-    large = distinct.groupBy("key").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > (block_bytes if len(grams) > 1 else (1 << 62)))
+    large = distinct.groupBy("key").agg(F.sum(F.col("starts") + (length - 1)).alias("bytes")).where(F.col("bytes") > (block_bytes if len(grams) > 1 else (1 << 62)))
     large = materialize(large.select(F.col("key").alias("of")), "suffix-large")
     small = distinct.join(large, distinct["key"] == large["of"], "left_anti")
     told = _marks(_fragments(texts, small, length).repartition("key").sortWithinPartitions("key"), window, length, block_bytes)
