@@ -16,10 +16,10 @@ def brute_sets(text: str | None, width: int = near_copies.SHINGLE) -> frozenset:
 
 
 def brute_kept(rows: list[tuple[int, str | None]]) -> set[int]:
-    """Fingerprint groups first, their least ids then grouped by whole sets."""
+    """All texts linked by fingerprints two bits apart and by whole sets at the similarity; the least id of each group."""
     rows = sorted(rows, key=lambda r: r[0])
-    first = [rows[x] for x in sorted(set(brute_groups([brute_print(t, near_copies.SHINGLE) for _, t in rows])))]
-    sets, root = [brute_sets(t) for _, t in first], list(range(len(first)))
+    prints = [brute_print(t, near_copies.SHINGLE) for _, t in rows]
+    sets, root = [brute_sets(t) for _, t in rows], list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
@@ -28,10 +28,10 @@ def brute_kept(rows: list[tuple[int, str | None]]) -> set[int]:
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and len(a & sets[j]) >= near_copies.SIMILARITY * len(a | sets[j]):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or a and len(a & sets[j]) >= near_copies.SIMILARITY * len(a | sets[j]):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return {first[i][0] for i in range(len(first)) if root[i] == i}
+    return {rows[i][0] for i in range(len(rows)) if root[i] == i}
 
 
 def edited(words: list[str], changes: int, rng: random.Random) -> str:
@@ -54,6 +54,47 @@ def test_planted_copies_against_brute_force(spark):
     assert {r["doc_id"] for r in out.collect()} == brute_kept(rows)
 
 
+@pytest.mark.parametrize("members", [4, 1024])
+def test_a_hot_key_of_unlike_texts(spark, monkeypatch, members):
+    """Texts that share half of themselves meet in many keys; small blocks deal those keys to many pairs of blocks."""
+    monkeypatch.setattr(near_copies, "BLOCK_MEMBERS", members)
+    rng = random.Random(5)
+    shared = [f"s{i}" for i in range(120)]
+    own = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(30)]
+    rows = [(i, " ".join([*shared, *words])) for i, words in enumerate(own)]
+    rows += [(100 + i, edited([*shared, *words], 3, rng)) for i, words in enumerate(own) if i % 3 == 0]
+    out = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    want = brute_kept(rows)
+    assert {r["doc_id"] for r in out.collect()} == want and len(want) == 30
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, edited(words, 900, rng)), (3, " ".join(words[:30_000])), (4, " ".join(reversed(words)))]
+    out = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.collect()} == {1, 3, 4}
+
+
+def test_pairs_of_groups_over_batches():
+    """Groups that lie across batches; of two blocks only pairs across them."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for group in range(40):
+        for k in range(int(rng.integers(1, 9))):
+            rows.append((group, (group, k), int(rng.integers(8, 12)), int(rng.integers(0, 3)), int(rng.integers(0, 1 + group % 2 * 2)), bytes(rng.choice([1, 2], 120, p=[0.9, 0.1]).astype(np.uint8))))
+    want = {(x[1], y[1]) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[0] == y[0] and x[3] != y[3] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2]) - 1e-9 and (len({r[4] for r in rows if r[0] == x[0]}) == 1 or x[4] != y[4]) and sum(a == b for a, b in zip(x[5], y[5], strict=True)) >= near_copies.least_agreement(0.8)}
+    node = pa.struct([("id", pa.int64()), ("row", pa.int64())])
+    kinds = dict(group=pa.int64(), node=node, n=pa.int64(), root=pa.int64(), block=pa.int64(), sketch=pa.binary())
+    for size in (1, 3, 500):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kinds, (r[0], {"id": r[1][0], "row": r[1][1]}, *r[2:]), strict=True)) for r in rows[i : i + size]], pa.schema(list(kinds.items()))) for i in range(0, len(rows), size)]
+        got = [((p["a"]["id"], p["a"]["row"]), (p["b"]["id"], p["b"]["row"])) for b in near_copies._pairs_of_groups(iter(batches), 0.8) for p in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
 def test_a_large_family_keeps_one(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(200)]
@@ -80,7 +121,7 @@ def test_bands_find_pairs_at_the_threshold(similarity):
         shared = [rng.getrandbits(64) for _ in range(int(200 * similarity))]
         own = (200 - len(shared)) // 2
         a, b = ([*shared, *(rng.getrandbits(64) for _ in range(own))] for _ in range(2))
-        keys = [near_copies.band_keys(near_copies.np.array(x, "u8")) for x in (a, b)]
+        keys = [near_copies.band_keys(near_copies.np.array(x, "u8"))[0] for x in (a, b)]
         missed += not (keys[0] == keys[1]).any()
     assert missed == 0
 
@@ -91,11 +132,11 @@ def test_test_tables(spark):
     assert got == brute_kept([tuple(r) for r in docs.collect()])
 
 
-def grouped_kept(rows: list[tuple[int, str | None]]) -> set[int]:
-    """All texts, linked by fingerprints two bits apart or by whole sets; the least id of each group."""
+def fingerprints_first(rows: list[tuple[int, str | None]]) -> set[int]:
+    """What would stay if fingerprint groups lost all but one text before the others are compared."""
     rows = sorted(rows, key=lambda r: r[0])
-    prints, sets = [brute_print(t, near_copies.SHINGLE) for _, t in rows], [brute_sets(t) for _, t in rows]
-    root = list(range(len(rows)))
+    first = [rows[x] for x in sorted(set(brute_groups([brute_print(t, near_copies.SHINGLE) for _, t in rows])))]
+    sets, root = [brute_sets(t) for _, t in first], list(range(len(first)))
 
     def find(x):
         while root[x] != x:
@@ -104,10 +145,10 @@ def grouped_kept(rows: list[tuple[int, str | None]]) -> set[int]:
 
     for i, a in enumerate(sets):
         for j in range(i):
-            near = (prints[i] ^ prints[j]).bit_count() <= 2 or (a and len(a & sets[j]) >= near_copies.SIMILARITY * len(a | sets[j]))
-            if near and (x := find(i)) != (y := find(j)):
+            if a and len(a & sets[j]) >= near_copies.SIMILARITY * len(a | sets[j]):
+                x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return {rows[i][0] for i in range(len(rows)) if root[i] == i}
+    return {first[i][0] for i in range(len(first)) if root[i] == i}
 
 
 def test_links_run_through_texts_that_fingerprints_would_drop(spark):
@@ -122,8 +163,8 @@ def test_links_run_through_texts_that_fingerprints_would_drop(spark):
                 words[at] = f"new{rng.random()}"
             family.append(" ".join(words))
         family = [(100 * seed + i, t) for i, t in enumerate(family)]
-        cut += len(brute_kept(family)) - len(grouped_kept(family))
+        cut += len(fingerprints_first(family)) - len(brute_kept(family))
         rows += family
     rows += [(2001, rows[0][1]), (2000, None), (2002, "")]
     got = {r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    assert cut > 0 and got == grouped_kept(rows)
+    assert cut > 0 and got == brute_kept(rows)

@@ -11,9 +11,12 @@ both are joined in components:
 2. In each key one member of every component of the fingerprint links is verified on
    its whole shingle set against one of the largest component, other members in each
    band, and the verified pairs are links. That is one pair a component and key.
-3. Pairs of a key whose components still differ, and whose sizes allow the
-   similarity, are verified as well. No candidate is left out: pairs of one
-   component would change nothing.
+3. Members of a key whose components still differ are compared on sketches, a byte of
+   each of their BANDS * ROWS minimal hashes: a pair of the similarity agrees on fewer
+   than the least count asked for with a probability below 1e-8 (six deviations). A key
+   of many members is dealt to pairs of blocks of BLOCK_MEMBERS, so no task holds it and
+   its pairs are never rows; what leaves are the pairs that the sketches allow. Those
+   are verified on their whole shingle sets. Pairs of one component would change nothing.
 
 Defined results
 ---------------
@@ -44,6 +47,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
+BLOCK_MEMBERS = 1024
 _CHUNK = 1024
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,14 +64,58 @@ def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(hashes ^ (hashes >> np.uint64(32)))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
+def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A key a band, and the sketch: a byte of every minimal hash."""
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), _CHUNK):
         np.minimum(least, (hashes[at : at + _CHUNK, None] * _FACTORS).min(0), out=least)
     keys = np.zeros(BANDS, np.uint64)
     for row in least.reshape(BANDS, ROWS).T:
         keys = (keys ^ (keys >> np.uint64(32))) * _MIX + row
-    return keys.view(np.int64)
+    return keys.view(np.int64), ((least * _MIX) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def least_agreement(similarity: float) -> int:
+    """Bytes of two sketches that agree at least, six deviations below what the similarity leads to expect."""
+    n = len(_FACTORS)
+    return int(n * similarity - 6 * (n * similarity * (1 - similarity)) ** 0.5)
+
+
+def _pairs_of_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (group, node, n, root, block, sketch), a group's rows standing together: pairs of two roots that sizes and sketches allow.
+
+    Of a group of two blocks only pairs across them are taken.
+    """
+    least, carried = least_agreement(similarity), None
+
+    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, n, root, block = (rows.column(c).to_numpy() for c in ("group", "n", "root", "block"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(n), -1)
+        new = np.append(True, group[1:] != group[:-1])
+        of = np.cumsum(new) - 1
+        two = (np.maximum.reduceat(block, np.flatnonzero(new)) != np.minimum.reduceat(block, np.flatnonzero(new)))[of]
+        node, i, d = rows.column("node").combine_chunks(), np.arange(len(n)), 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(n)]
+            i = i[of[i + d] == of[i]]
+            j = i + d
+            may = (root[i] != root[j]) & ~(two[i] & (block[i] == block[j])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            a = i[may]
+            a = a[(sketch[a] == sketch[a + d]).sum(1) >= least]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(a + d))], ["a", "b"])
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if carried is None else pa.concat_tables([carried, pa.Table.from_batches([batch])])
+        if rows.num_rows:
+            group = rows.column("group").to_numpy()
+            whole = len(group) - 1 - int(np.argmax(group[::-1] != group[-1])) + 1 if (group != group[-1]).any() else 0
+            carried = rows.slice(whole)
+            if whole:
+                yield from compared(rows.slice(0, whole))
+    if carried is not None and carried.num_rows:
+        yield from compared(carried)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -80,16 +128,17 @@ def _body(text_col: str) -> Column:
 
 
 def _sketches(texts: DataFrame, width: int) -> DataFrame:
-    """(node, n, keys) of every document with words: its number of shingles and its band keys."""
+    """(node, n, keys, sketch) of every document with words: its number of shingles, its band keys and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py() or b"", width) for t in batch.column(1).cast(pa.large_binary())]
-            keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), keys], ["node", "n", "keys"])
+            made = [band_keys(s) if len(s) else ([], b"") for s in sets]
+            keys, sketches = pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), keys, sketches], ["node", "n", "keys", "sketch"])
 
     node = texts.schema["node"].dataType.simpleString()
-    return texts.mapInArrow(run, f"node {node}, n bigint, keys array<bigint>").where("n > 0")
+    return texts.mapInArrow(run, f"node {node}, n bigint, keys array<bigint>, sketch binary").where("n > 0")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -162,11 +211,16 @@ def near_copies(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id", te
     named = met.join(roots, met["node"] == roots["of"], "left").select("band", "key", "node", "n", F.coalesce("now", "root").alias("root"))
     named = materialize(named, "band-roots")
     sizes = named.groupBy("band", "key", "root").agg(F.count("*").alias("members"))
-    tops = sizes.groupBy("band", "key").agg(F.max_by("root", F.struct("members", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    left = materialize(named.join(tops.drop("roots"), ["band", "key"]).where("root != top").drop("top"), "band-rest")
-    other = named.select("band", "key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    alike = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
-    rest = left.join(other, ["band", "key"]).where((F.col("root") != F.col("root2")) & alike).select(*_both(F.col("node"), F.col("node2"))).distinct()
+    differ = sizes.groupBy("band", "key").agg(F.sum("members").alias("members"), F.count("*").alias("roots")).where("roots > 1")
+    differ = materialize(differ.drop("roots"), "band-differ")
+    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS)
+    dealt = named.join(differ, ["band", "key"]).join(sketches.select(F.col("node").alias("of"), "sketch"), F.col("node") == F.col("of"))
+    dealt = dealt.select("band", "key", "node", "n", F.xxhash64("root").alias("root"), "sketch", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "node", "n", "root", "block", "sketch")
+    node = texts.schema["node"].dataType.simpleString()
+    rest = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _pairs_of_groups(batches, similarity), f"a {node}, b {node}")
+    rest = rest.select(*_both(F.col("a"), F.col("b"))).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "other-pairs")
     return components(edges.union(_verified(rest, texts, shingle, similarity)))
 
