@@ -91,8 +91,13 @@ def test_pairs_of_groups_over_batches():
     kinds = dict(group=pa.int64(), node=node, n=pa.int64(), root=pa.int64(), block=pa.int64(), sketch=pa.binary())
     for size in (1, 3, 500):
         batches = [pa.RecordBatch.from_pylist([dict(zip(kinds, (r[0], {"id": r[1][0], "row": r[1][1]}, *r[2:]), strict=True)) for r in rows[i : i + size]], pa.schema(list(kinds.items()))) for i in range(0, len(rows), size)]
-        got = [((p["a"]["id"], p["a"]["row"]), (p["b"]["id"], p["b"]["row"])) for b in near_copies._pairs_of_groups(iter(batches), 0.8) for p in b.to_pylist()]
+        got = []
+        for table in near_copies._whole_groups(iter(batches)):
+            names = [(x["id"], x["row"]) for x in table.column("node").to_pylist()]
+            got += [(names[a], names[b]) for i, j in near_copies._likely(table, 0.8) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+        flagged = [(x["node"]["id"], x["node"]["row"]) for b in near_copies._with_partners(iter(batches), 0.8) for x in b.to_pylist()]
+        assert len(flagged) == len(set(flagged)) and set(flagged) == {x for pair in want for x in pair}
 
 
 def test_a_large_family_keeps_one(spark):

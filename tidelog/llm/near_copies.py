@@ -13,10 +13,11 @@ both are joined in components:
    band, and the verified pairs are links. That is one pair a component and key.
 3. Members of a key whose components still differ are compared on sketches, a byte of
    each of their BANDS * ROWS minimal hashes: a pair of the similarity agrees on fewer
-   than the least count asked for with a probability below 1e-8 (six deviations). A key
-   of many members is dealt to pairs of blocks of BLOCK_MEMBERS, so no task holds it and
-   its pairs are never rows; what leaves are the pairs that the sketches allow. Those
-   are verified on their whole shingle sets. Pairs of one component would change nothing.
+   than the least count asked for with a probability below 1e-4 (four deviations). A key
+   of many members is dealt to pairs of blocks of BLOCK_MEMBERS, so no task holds it.
+   Members with a partner that sketches and sizes allow come together once more, now
+   with their whole shingle sets; each pair is verified in the first band that it shares,
+   inside the task, and only links that join two components leave. Pairs are never rows.
 
 Defined results
 ---------------
@@ -76,46 +77,91 @@ def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def least_agreement(similarity: float) -> int:
-    """Bytes of two sketches that agree at least, six deviations below what the similarity leads to expect."""
+    """Bytes of two sketches that agree at least, four deviations below what the similarity leads to expect."""
     n = len(_FACTORS)
-    return int(n * similarity - 6 * (n * similarity * (1 - similarity)) ** 0.5)
+    return int(n * similarity - 4 * (n * similarity * (1 - similarity)) ** 0.5)
 
 
-def _pairs_of_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, b) of rows (group, node, n, root, block, sketch), a group's rows standing together: pairs of two roots that sizes and sketches allow.
-
-    Of a group of two blocks only pairs across them are taken.
-    """
-    least, carried = least_agreement(similarity), None
-
-    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        group, n, root, block = (rows.column(c).to_numpy() for c in ("group", "n", "root", "block"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(n), -1)
-        new = np.append(True, group[1:] != group[:-1])
-        of = np.cumsum(new) - 1
-        two = (np.maximum.reduceat(block, np.flatnonzero(new)) != np.minimum.reduceat(block, np.flatnonzero(new)))[of]
-        node, i, d = rows.column("node").combine_chunks(), np.arange(len(n)), 0
-        while len(i):
-            d += 1
-            i = i[i + d < len(n)]
-            i = i[of[i + d] == of[i]]
-            j = i + d
-            may = (root[i] != root[j]) & ~(two[i] & (block[i] == block[j])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-            a = i[may]
-            a = a[(sketch[a] == sketch[a + d]).sum(1) >= least]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(a + d))], ["a", "b"])
-
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups; the rows of a group stand together, over one or more batches."""
+    carried = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if carried is None else pa.concat_tables([carried, pa.Table.from_batches([batch])])
+        rows = pa.Table.from_batches([batch])
+        rows = rows if carried is None else pa.concat_tables([carried, rows])
         if rows.num_rows:
-            group = rows.column("group").to_numpy()
-            whole = len(group) - 1 - int(np.argmax(group[::-1] != group[-1])) + 1 if (group != group[-1]).any() else 0
+            other = np.flatnonzero(rows.column("group").to_numpy() != rows.column("group")[-1].as_py())
+            whole = int(other[-1]) + 1 if len(other) else 0
             carried = rows.slice(whole)
             if whole:
-                yield from compared(rows.slice(0, whole))
+                yield rows.slice(0, whole)
     if carried is not None and carried.num_rows:
-        yield from compared(carried)
+        yield carried
+
+
+def _likely(rows: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (places i, places j) of rows (group, n, root, block, sketch): of one group and two roots, that sizes and sketches allow.
+
+    Of a group of two blocks only pairs across them are taken.
+    """
+    least = least_agreement(similarity)
+    group, n, root, block = (rows.column(c).to_numpy() for c in ("group", "n", "root", "block"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(n), -1)
+    new = np.append(True, group[1:] != group[:-1])
+    of, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+    two = (np.maximum.reduceat(block, heads) != np.minimum.reduceat(block, heads))[of]
+    i, d = np.arange(len(n)), 0
+    while len(i):
+        d += 1
+        i = i[i + d < len(n)]
+        i = i[of[i + d] == of[i]]
+        j = i + d
+        may = (root[i] != root[j]) & ~(two[i] & (block[i] == block[j])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        a = i[may]
+        a = a[(sketch[a] == sketch[a + d]).sum(1) >= least]
+        if len(a):
+            yield a, a + d
+
+
+def _with_partners(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The rows that are in a likely pair."""
+    for rows in _whole_groups(batches):
+        flag = np.zeros(rows.num_rows, bool)
+        for i, j in _likely(rows, similarity):
+            flag[i] = flag[j] = True
+        if flag.any():
+            yield from rows.filter(pa.array(flag)).to_batches()
+
+
+def _links_of_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of likely pairs of rows (..., node, band, keys, hashes) whose sets reach the similarity, where they join two roots."""
+    for rows in _whole_groups(batches):
+        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int64).reshape(rows.num_rows, -1)
+        band, root, group = (rows.column(c).to_numpy() for c in ("band", "root", "group"))
+        hashes, node = rows.column("hashes").combine_chunks(), rows.column("node").combine_chunks()
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def find(x: tuple[int, int], parent: dict = parent) -> tuple[int, int]:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = parent[x]
+            return x
+
+        def of(i: int, sets: dict = sets, hashes: pa.Array = hashes) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.frombuffer(hashes[i].as_buffer(), np.uint64)
+            return sets[i]
+
+        found = []
+        for i, j in _likely(rows, similarity):
+            first = (keys[i] == keys[j]).argmax(1) == band[i]
+            for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                x, y = find((group[a], root[a])), find((group[b], root[b]))
+                if x != y and jaccard(of(a), of(b)) >= similarity - 1e-9:
+                    parent[x] = y
+                    found.append((a, b))
+        if found:
+            yield pa.RecordBatch.from_arrays([node.take(pa.array([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -141,6 +187,20 @@ def _sketches(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, f"node {node}, n bigint, keys array<bigint>, sketch binary").where("n > 0")
 
 
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(of, keys, hashes) of texts (node, text): the band keys and the whole shingle set, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingles(t.as_py() or b"", width) for t in part.column(1).cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([band_keys(s)[0].tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["of", "keys", "hashes"])
+
+    node = texts.schema["node"].dataType.simpleString()
+    return texts.select("node", "text").mapInArrow(run, f"of {node}, keys binary, hashes binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the similarity."""
 
@@ -217,12 +277,15 @@ def near_copies(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id", te
     dealt = named.join(differ, ["band", "key"]).join(sketches.select(F.col("node").alias("of"), "sketch"), F.col("node") == F.col("of"))
     dealt = dealt.select("band", "key", "node", "n", F.xxhash64("root").alias("root"), "sketch", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "node", "n", "root", "block", "sketch")
+    dealt = dealt.select(F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "band", "node", "n", "root", "block", "sketch")
     node = texts.schema["node"].dataType.simpleString()
-    rest = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _pairs_of_groups(batches, similarity), f"a {node}, b {node}")
-    rest = rest.select(*_both(F.col("a"), F.col("b"))).distinct()
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "other-pairs")
-    return components(edges.union(_verified(rest, texts, shingle, similarity)))
+    schema = f"group bigint, band int, node {node}, n bigint, root bigint, block bigint, sketch binary"
+    partnered = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _with_partners(batches, similarity), schema)
+    partnered = materialize(partnered, "band-partners")
+    sets = materialize(_sets(_joined(texts, partnered.select("node").distinct()), shingle), "partner-sets")
+    compared = partnered.join(sets, F.col("node") == F.col("of")).drop("of")
+    links = compared.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _links_of_groups(batches, similarity), f"a {node}, b {node}")
+    return components(edges.union(materialize(links.select(*_both(F.col("a"), F.col("b"))), "band-links")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
