@@ -11,7 +11,7 @@ from tidelog.operators import core
 from tidelog.plans.compiler import Compiler
 from tidelog.queries import expressions, runtime
 
-PYTHON = {"json_path_text", "json_contains", "json_contained_by"}  # negative index and containment only
+PYTHON = {"json_get", "json_get_text", "json_get_verbatim", "json_path", "json_path_text", "json_contains", "json_contained_by"}  # no JSON function of the JVM keeps spelling
 
 
 def plan(df) -> str:

@@ -79,3 +79,42 @@ def test_patterns_and_intervals():
     assert parse_interval("2 months -3 hours") == (2, 0, -10_800_000_000)
     with pytest.raises(TypeMismatch):
         parse_interval("soon")
+
+
+@pytest.mark.parametrize(
+    ("expr", "want"),
+    [
+        ("round(2.5::double precision)", 2.0),
+        ("round(-3.5::double precision)", -4.0),
+        ("round(2.5)", Decimal(3)),
+        ("date_part('dow', '2024-01-07'::date)", 0.0),
+        ("date_part('isodow', '2024-01-07'::date)", 7.0),
+        ("date_part('epoch', '1970-01-02'::timestamp)", 86400.0),
+        ("date_part('MILLISECONDS', '2024-01-07 00:00:07.25'::timestamp)", 7250.0),
+        ("date_part('century', '2000-12-31'::date)", 20.0),
+        ("'{\"a\":1.10,\"b\":{\"z\":1, \"y\":2}}'::json -> 'a'", "1.10"),
+        ("'{\"a\":1.10,\"b\":{\"z\":1, \"y\":2}}'::json -> 'b'", '{"z":1, "y":2}'),
+        ("' [1, {\"q\" : 2.50} ] '::json -> 1 ->> 'q'", "2.50"),
+        ("'{\"a\":\"{}\"}'::json ->> 'a'", "{}"),
+        ("'{}'::json -> 'a'", None),
+        ("'[]'::json -> 0", None),
+    ],
+)
+def test_more_values(spark, expr, want):
+    assert value(spark, expr) == want
+
+
+@pytest.mark.parametrize("expr", ["ln(0)", "ln(-1)", "sqrt(-2.5)", "date_part('none', '2024-01-07'::date)", "'not json' -> 'a'", "'{\"a\":1' -> 'a'"])
+def test_undefined_values_are_errors(spark, expr):
+    with pytest.raises(Exception, match=r"logarithm|square root|unit not recognized|JSON|Expecting|delimiter"):
+        value(spark, expr)
+
+
+def test_a_digit_that_is_none_is_an_error(spark):
+    from pyspark.sql import functions as F
+
+    from tidelog.functions import hlc
+
+    assert spark.range(1).select(hlc.decode_column(F.lit("0A")).alias("v")).first()["v"] == 10
+    with pytest.raises(Exception, match="invalid character"):
+        spark.range(1).select(hlc.decode_column(F.lit("00-00")).alias("v")).first()

@@ -27,6 +27,8 @@ from .sources.log import VERSION, Segment, State, StreamLog
 SESSION = {"spark.sql.ansi.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.timeType.enabled": "true"}
 VALUES_CHUNK = 200
 _INDEX = "__index"
+#: The place of a row in its statement, which decides between rows of one key.
+_PLACE = "__place"
 
 
 def _utc_now() -> datetime:
@@ -224,7 +226,8 @@ class Engine:
     def _commit_rows(self, schema: StreamSchema, state: State, rows: DataFrame, *, skip: bool, clock: list[int] | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
         log, version = self.log(schema.name), state.version + 1
         physical = [F.col(core.quoted(f.column.name)).alias(f.physical) for f in schema.fields]
-        kept = rows.select(*SYSTEM_NAMES, *physical, "__issue")
+        place = F.col(_INDEX) if _INDEX in rows.columns else F.monotonically_increasing_id()
+        kept = rows.select(*SYSTEM_NAMES, *physical, "__issue", place.alias(_PLACE))
         segments = state.tables.get("events", [])
         segment = log.write(kept, version, len(schema.hashes), HLC)
         written = self.spark.read.parquet(segment.path)
@@ -237,7 +240,7 @@ class Engine:
             stored = log.table(met, lambda df, _: df.select(HLC, VERSION))
             stored = log.hidden(stored, state.tombstones.get("events", []), [HLC]) if stored is not None else None
             if skip:
-                fresh = core.accepted(written, stored)
+                fresh = core.accepted(written, stored, order=_PLACE)
                 unique = written.select(HLC).distinct().count() == segment.rows
                 if stored is not None or not unique:
                     old, segment = segment, log.write(fresh.drop(VERSION), version, len(schema.hashes), HLC)
@@ -262,6 +265,8 @@ class Engine:
         missing = [c for c in (HLC, HLC_TIMESTAMP, HLC_COUNT, HLC_NODE) if c not in rows.columns] + [c.name for c in schema.columns if c.name not in rows.columns and not c.optional and c.default is None and c.generated is None]
         if missing:
             raise ConstraintError(f"forwarded rows lack {', '.join(missing)}")
+        if batch is None and rows.isEmpty():
+            raise ConstraintError("no forwarded rows")
         state = self.log(stream).state()
         if batch and state.batches.get(batch[0], -1) >= batch[1]:
             return 0

@@ -108,8 +108,10 @@ def encode_column(value: Column, width: int) -> Column:
 
 
 def decode_column(text: Column) -> Column:
+    """The number of a text; a character that is no digit is an error."""
     digits = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(digits, F.lit(0).cast("long"), lambda acc, c: acc * 62 + F.instr(F.lit(ALPHABET), c) - 1)
+    value = F.aggregate(digits, F.lit(0).cast("long"), lambda acc, c: acc * 62 + F.instr(F.lit(ALPHABET), c) - 1)
+    return F.when(text.rlike("[^0-9A-Za-z]"), F.raise_error(F.concat(F.lit("invalid character in "), text))).otherwise(value)
 
 
 def stamp_columns(index: Column, ms: int, first: int, node: int) -> dict[str, Column]:

@@ -1,7 +1,8 @@
 """JSON operators on text columns that hold JSON.
 
-Member access with literal keys stays in the JVM. Containment, negative indexes
-and keys that come from a column run in Arrow UDFs.
+Members are given in the document's own spelling (1.10 stays 1.10, spaces and key order
+stay), which none of Spark's JSON functions does, so access runs in Arrow UDFs, as
+containment does.
 """
 
 from __future__ import annotations
@@ -15,21 +16,6 @@ from pyspark.sql import functions as F
 Step = str | int
 
 
-def json_path(steps: list[Step]) -> str | None:
-    """A Spark JSON path, or None where it cannot spell the steps."""
-    out = "$"
-    for s in steps:
-        if isinstance(s, int):
-            if s < 0:
-                return None
-            out += f"[{s}]"
-        elif any(c in s for c in "'\"[]*\\"):
-            return None
-        else:
-            out += f"['{s}']"
-    return out
-
-
 def text_array(literal: str) -> list[str]:
     """Elements of a text array literal such as {a,b,0}; double quotes may enclose one."""
     body = literal.strip()
@@ -49,37 +35,62 @@ def text_array(literal: str) -> list[str]:
     return [*out, current] if body[1:-1] else []
 
 
-def _dump(value: object) -> str:
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+_DECODER = json.JSONDecoder()
+_SPACES = " \t\n\r"
+
+
+def _after(text: str, at: int) -> int:
+    while at < len(text) and text[at] in _SPACES:
+        at += 1
+    return at
+
+
+def _members(text: str, at: int) -> dict | list | None:
+    """(from, to) of every member's text in the object or array at a place; of equal keys the last. None: neither."""
+    if text[at] not in "{[":
+        return None
+    close, out = ("}", {}) if text[at] == "{" else ("]", [])
+    at = _after(text, at + 1)
+    while text[at] != close:
+        if close == "}":
+            key, at = json.decoder.scanstring(text, at + 1)
+            at = _after(text, _after(text, at) + 1)
+        end = _DECODER.raw_decode(text, at)[1]
+        if close == "}":
+            out[key] = (at, end)
+        else:
+            out.append((at, end))
+        at = _after(text, end)
+        at = _after(text, at + 1) if text[at] == "," else at
+    return out
 
 
 def walk(document: str | None, steps: list[Step], as_text: bool) -> str | None:
-    """What PostgreSQL's member operators give; a number-like step indexes an array."""
+    """What PostgreSQL's member operators give, in the document's own spelling; a number-like step indexes an array."""
     if document is None or any(s is None for s in steps):
         return None
-    value = json.loads(document)
+    json.loads(document)  # a broken document is an error, wherever it is broken
+    at = _after(document, 0)
+    end = len(document.rstrip(_SPACES))
     for s in steps:
-        if isinstance(value, list):
-            if isinstance(s, str) and not s.lstrip("-").isdigit() or not -len(value) <= int(s) < len(value):
+        members = _members(document, at)
+        if isinstance(members, list):
+            if isinstance(s, str) and not s.lstrip("-").isdigit() or not -len(members) <= int(s) < len(members):
                 return None
-            value = value[int(s)]
-        elif isinstance(value, dict) and str(s) in value and isinstance(s, str):
-            value = value[s]
+            at, end = members[int(s)]
+        elif isinstance(members, dict) and isinstance(s, str) and s in members:
+            at, end = members[s]
         else:
             return None
-    if as_text and (value is None or isinstance(value, str)):
-        return value
-    return _dump(value)
+    own = document[at:end]
+    if as_text and own[0] in 'n"':
+        return json.loads(own)
+    return own
 
 
 def get(document: Column, steps: list[Step], *, as_text: bool) -> Column:
     """-> and #> (as_text False), ->> and #>> (True), with known steps."""
-    path = json_path(steps)
-    if path is None:
-        return get_dynamic(document, F.array(*[F.lit(str(s)) for s in steps]), as_text=as_text, indexes=[isinstance(s, int) for s in steps])
-    if as_text:
-        return F.get_json_object(document, path)
-    return F.to_json(F.try_variant_get(F.try_parse_json(document), path, "variant"))
+    return get_dynamic(document, F.array(*[F.lit(str(s)) for s in steps]), as_text=as_text, indexes=[isinstance(s, int) for s in steps])
 
 
 def get_dynamic(document: Column, steps: Column, *, as_text: bool, indexes: list[bool] | None = None) -> Column:

@@ -68,9 +68,13 @@ def violated(check: ast.Check, schema: StreamSchema) -> Column:
     return ~F.coalesce(Compiler(schema.types).column(check.predicate), F.lit(True))
 
 
-def accepted(incoming: DataFrame, stored: DataFrame | None, key: str = HLC) -> DataFrame:
-    """ON CONFLICT DO NOTHING: first of equal incoming keys, and none that is stored."""
-    once = incoming.dropDuplicates([key])
+def accepted(incoming: DataFrame, stored: DataFrame | None, key: str = HLC, order: str | None = None) -> DataFrame:
+    """ON CONFLICT DO NOTHING: of equal incoming keys the first by `order` (else any), and none that is stored."""
+    if order is None:
+        once = incoming.dropDuplicates([key])
+    else:
+        first = F.min_by(F.struct(*[F.col(quoted(c)) for c in incoming.columns if c != key]), F.col(quoted(order)))
+        once = incoming.groupBy(key).agg(first.alias("__first")).select(key, "__first.*").select(*[quoted(c) for c in incoming.columns])
     return once if stored is None else once.join(stored.select(key), key, "left_anti")
 
 

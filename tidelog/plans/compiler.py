@@ -73,7 +73,9 @@ class Compiler:
         else:
             args = [Typed(a.column, TEXT, a.text) if a.kind == "unknown" and a.text is not None else a for a in args]
             kind = (args[0].type if args else TEXT) if f.result == "first" else DataType(f.result)
-        return Typed(f.make(*[a.column for a in args]), kind)
+        # the moment of date_part stands second
+        kinds = [args[-1].kind if name == "date_part" else args[0].kind] if f.typed else []
+        return Typed(f.make(*kinds, *[a.column for a in args]), kind)
 
     def _common(self, args: list[Typed]) -> tuple[list[Typed], DataType]:
         known = [a.type for a in args if a.kind != "unknown"]

@@ -85,6 +85,7 @@ SPECS: dict[str, tuple[tuple[str, tuple[str, ...]], dict[str, tuple[str, str]]]]
     "cast_ts": (ORDER, {"v": ("o_orderdate::date::timestamp", "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)"), "l": ("'1996-02-29 01:02:03'::timestamp", "TIMESTAMP '1996-02-29 01:02:03'")}),
     # JSON
     "json_get": (EVENT, {"v": ("props -> 'k'", "CAST(props -> 'k' AS VARCHAR)"), "m": ("props -> 'none'", "CAST(props -> 'none' AS VARCHAR)")}),
+    "json_get_verbatim": (EVENT, {"v": ("('{\"a\":1.10,\"b\":{\"z\":' || event_id || ', \"y\":2}}') -> 'a'", "'1.10'"), "o": ("('{\"a\":1.10,\"b\":{\"z\":' || event_id || ', \"y\":2}}') -> 'b'", "'{\"z\":' || event_id || ', \"y\":2}'"), "t": ("('[1, {\"q\": ' || event_id || '.50}]') -> 1 ->> 'q'", "CAST(event_id AS VARCHAR) || '.50'")}),
     "json_get_text": (EVENT, {"v": ("props ->> 'k'", "props ->> 'k'"), "i": ("('[1,\"b\",' || event_id || ']') ->> 2", "CAST(event_id AS VARCHAR)")}),
     "json_path": (EVENT, {"v": ("('{\"a\":{\"b\":[0,' || props || ']}}') #> '{a,b,1,k}'", "CAST(props -> 'k' AS VARCHAR)")}),
     "json_path_text": (EVENT, {"v": ("('{\"a\":{\"b\":[\"x\",' || props || ']}}') #>> '{a,b,1,k}'", "props ->> 'k'"), "t": ("'{\"a\":[\"x\"]}' #>> '{a,0}'", "'x'"), "n": ("'{\"a\":[\"x\",\"y\"]}' #>> '{a,-1}'", "'y'")}),
@@ -95,6 +96,8 @@ SPECS: dict[str, tuple[tuple[str, tuple[str, ...]], dict[str, tuple[str, str]]]]
     "fn_string": (PART, {"a": ("lower(p_brand)", "lower(p_brand)"), "b": ("upper(p_name)", "upper(p_name)"), "c": ("length(p_name)", "CAST(length(p_name) AS INTEGER)"), "d": ("btrim('  x ') || ltrim('xxy', 'x') || rtrim('yxx', 'x')", "'xyy'"), "e": ("substr(p_name, 2, 3)", "substr(p_name, 2, 3)"), "f": ("replace(p_brand, 'Brand', 'B')", "replace(p_brand, 'Brand', 'B')"), "g": ("concat(p_brand, NULL, p_size)", "concat(p_brand, p_size)"), "h": ("strpos(p_brand, '#')", "CAST(strpos(p_brand, '#') AS INTEGER)"), "i": ("lpad(p_size::text, 5, '0')", "lpad(CAST(p_size AS VARCHAR), 5, '0')"), "j": ("rpad(p_size::text, 5)", "rpad(CAST(p_size AS VARCHAR), 5, ' ')"), "k": ("md5(p_name)", "md5(p_name)"), "m": ("starts_with(p_name, 's')", "starts_with(p_name, 's')"), "n": ("reverse(p_brand)", "reverse(p_brand)"), "o": ("repeat('ab', 2)", "'abab'"), "p": ("split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 1)"), "q": ('"left"(p_name, 2) || "right"(p_name, 2)', "left(p_name, 2) || right(p_name, 2)")}),
     "fn_math": (CUSTOMER, {"a": ("abs(c_acctbal)", "abs(c_acctbal)"), "b": ("ceil(c_acctbal)::bigint", "CAST(ceil(c_acctbal) AS BIGINT)"), "c": ("floor(c_acctbal)::bigint", "CAST(floor(c_acctbal) AS BIGINT)"), "d": ("sqrt(c_custkey::double precision)", "sqrt(CAST(c_custkey AS DOUBLE))"), "e": ("sign(c_acctbal)", "CAST(sign(c_acctbal) AS DOUBLE)"), "f": ("mod(c_custkey, 7)", "c_custkey % 7"), "g": ("trunc(c_acctbal)::bigint", "CAST(trunc(c_acctbal) AS BIGINT)"), "h": ("power(c_nationkey, 2)", "CAST(c_nationkey * c_nationkey AS DOUBLE)"), "i": ("round(c_custkey / 3.0)::bigint", "CAST(round(c_custkey / 3.0) AS BIGINT)")}),
     "fn_date": (ORDER, {"a": ("date_trunc('month', o_orderdate)::date", "CAST(date_trunc('month', o_orderdate) AS DATE)"), "b": ("date_part('year', o_orderdate)", "CAST(date_part('year', o_orderdate) AS DOUBLE)"), "c": ("make_date(1996, 2, 29)", "DATE '1996-02-29'"), "d": ("to_timestamp(o_orderkey)::timestamp", "TIMESTAMP '1970-01-01' + to_seconds(o_orderkey)")}),
+    "fn_round_float": (LINE, {"v": ("round(l_linenumber + 0.5::double precision)", "round_even(l_linenumber + CAST(0.5 AS DOUBLE), 0)"), "n": ("round(-(l_linenumber + 0.5::double precision))", "round_even(-(l_linenumber + CAST(0.5 AS DOUBLE)), 0)"), "d": ("round(l_linenumber + 0.5)::bigint", "CAST(l_linenumber + 1 AS BIGINT)")}),
+    "fn_date_fields": (ORDER, {f: (f"date_part('{f}', o_orderdate)", f"CAST(date_part('{f}', o_orderdate) AS DOUBLE)") for f in ("month", "day", "hour", "minute", "dow", "isodow", "doy", "week", "isoyear", "quarter", "decade", "century", "millennium", "epoch")}),
     "fn_json": (EVENT, {"a": ("jsonb_typeof(props)", "'object'"), "b": ("jsonb_array_length('[1,2,3]')", "CAST(3 AS INTEGER)")}),
 }
 

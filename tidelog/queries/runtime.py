@@ -230,6 +230,14 @@ def on_conflict_anti_join(spark, sf_dir):
     return core.accepted(incoming.union(incoming.where("event_id % 20 = 7")), stored, KEY).select("event_id", "event_type")
 
 
+@_q("SELECT user_id, arg_min(event_id, event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events WHERE user_id % 3 <> 0 GROUP BY user_id")
+def on_conflict_first(spark, sf_dir):
+    """Of rows that share a key the first in order stays, whatever partition it lies in."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    stored = rows.where("user_id % 3 = 0").select("user_id").distinct()
+    return core.accepted(rows.repartition(7, "event_type"), stored, "user_id", order="event_id")
+
+
 @_q("SELECT event_id FROM events WHERE event_id % 10 IN (4, 5)")
 def insert_conflicts(spark, sf_dir):
     stored, incoming = _halves(spark, sf_dir)

@@ -1,7 +1,10 @@
 """Stream log: immutable Parquet segments under numbered JSON commits.
 
-A commit is one file, created exclusively through Hadoop's file system interface,
-so one writer wins a version on any store that Spark knows. A commit may add
+A commit is one file, written whole beside the log and then given its number: by a hard
+link on a local disk, by a rename that keeps what is there elsewhere. Both fail where
+the number is taken, so one writer wins a version, and a crash leaves no half commit,
+on any store whose rename is atomic (local disks, HDFS; not on object stores that copy).
+A commit may add
 segments, tombstones, a new schema history, the clock's state and a micro-batch
 number, all at once. Rows carry the version that added them; a tombstone hides only
 rows of lower versions, so a key that was deleted may be inserted again.
@@ -11,6 +14,7 @@ from __future__ import annotations
 
 import copy
 import json
+import os
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
@@ -66,14 +70,23 @@ class StreamLog:
             stream.close()
 
     def _create(self, path: str, text: str) -> None:
-        try:
-            out = self._fs.create(self._path(path), False)
-        except Exception as e:
-            raise CommitConflict(path) from e
+        """The file appears whole, or not at all if there is one of its name."""
+        jvm, beside = self.spark._jvm, self._path(f"{self.root}/tmp/{uuid.uuid4().hex}")
+        out = self._fs.create(beside, False)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
+        try:
+            if self._fs.getScheme() == "file":
+                os.link(beside.toUri().getPath(), self._path(path).toUri().getPath())
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(beside, self._path(path), getattr(jvm, "org.apache.hadoop.fs.Options$Rename").NONE)
+        except Exception as e:
+            raise CommitConflict(path) from e
+        finally:
+            self._fs.delete(beside, False)
 
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
