@@ -78,3 +78,52 @@ def test_awkward_rows_and_bounds(documents, spark):
     many = documents([(i, sample("xx", i), "xx") for i in range(200)])
     picked = langid.training_sample(many, id_col="doc_id", text_col="text", lang_col="lang", rows=20, chars=30)
     assert 10 <= len(picked) <= 20 and max(len(t) for t, _ in picked) <= 30
+
+
+def brute_predict(model, text):
+    """Features, softmax and language once more, a subword at a time."""
+    if not model.languages or not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    stream = [0]
+    for i, c in enumerate(text):
+        if c.isalpha() or ord(c) > 0xFFFF:
+            stream.append(ord(c.lower()[0]) if ord(c) <= 0xFFFF else ord(c))
+        elif i and (text[i - 1].isalpha() or ord(text[i - 1]) > 0xFFFF):
+            stream.append(0)
+    stream.append(0)
+    total, n = np.zeros(len(model.languages)), 0
+    for width in (1, 2, 3, 4):
+        for i in range(len(stream) - width + 1):
+            gram = stream[i : i + width]
+            if any(x == 0 for x in gram[1:-1]):
+                continue
+            h = 0
+            for k, x in enumerate(gram):
+                h = (h * 0x01000193 + x + k + 1) % 2**32
+            total += model.table[(h * 0x9E3779B1 % 2**32) >> 16]
+            n += 1
+    scores = (total / n + model.bias) / model.temperature
+    shares = [float(np.exp(x - max(scores))) for x in scores]
+    best = int(np.argmax(scores))
+    return model.languages[best], shares[best] / sum(shares)
+
+
+def test_query_against_a_plain_computation(spark):
+    from tidelog.llm import queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in queries.op8_language_id(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        lang, score = brute_predict(model, text)
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-6), i
+
+
+def test_long_text_against_a_plain_computation(model, monkeypatch):
+    monkeypatch.setattr(langid, "_CHUNK", 1000)
+    text = sample("xx", 1, 800) + " 12 \U0001d518 " + sample("zz", 2, 300)
+    lang, score = model.predict(text)
+    want, share = brute_predict(model, text)
+    assert lang == want and score == pytest.approx(share, abs=1e-6)
