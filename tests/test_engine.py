@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import json
+import os
 import urllib.request
 from datetime import datetime, timedelta, timezone
 from threading import Thread
 
 import pytest
 
+import tidelog.store
 from tidelog.catalog import HLC
 from tidelog.engine import Engine
 from tidelog.lang.errors import AnalysisError, ConstraintError, MigrationError
@@ -176,7 +178,7 @@ def test_store_and_http(spark):
 
     def transport(url, path, body):
         posts.append((url, path, body))
-        return 200, SENSOR
+        return 200, {"migration": SENSOR.replace(" ", "  ")}
 
     store = EventStore.start(spark, CONFIG | {"databaseUrl": new_root(spark, "store")}, transport)
     server = http.server(store)
@@ -199,7 +201,62 @@ def test_store_and_http(spark):
     server.shutdown()
     store.close()
     with pytest.raises(RegistrationError):
-        EventStore.start(spark, CONFIG | {"databaseUrl": new_root(spark, "store")}, lambda *a: (200, "other"))
+        EventStore.start(spark, CONFIG | {"databaseUrl": new_root(spark, "store")}, lambda *a: (200, {"migration": "CREATE STREAM r (other INT)"}))
+
+
+def test_two_stores_talk(spark, monkeypatch):
+    """Registration, delivery in bounded posts and idempotent receive, over HTTP."""
+    monkeypatch.setattr(tidelog.store, "POST_ROWS", 2)
+    upper = {"nodeId": 7, "aggregators": {}, "streams": {"r": {"migration": SENSOR, "aggregators": []}}, "databaseUrl": new_root(spark, "upper")}
+    aggregator = EventStore.start(spark, upper)
+    server = http.server(aggregator)
+    Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    lower = json.loads(json.dumps(CONFIG))
+    lower["aggregators"] = {"7": {"baseUrl": base}}
+    lower["streams"]["r"]["aggregators"] = [{"nodeId": 7, "aggregationStrategy": {"kind": "sentImmediately"}, "retentionStrategy": {"kind": "indefinite"}}]
+    collector = EventStore.start(spark, lower | {"databaseUrl": new_root(spark, "lower")})
+    collector.create_events("INSERT INTO r (reading, units) VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd'), (5, 'e')")
+    assert collector.deliver_pending_for("r", 7) == 5 and collector.deliver_pending_for("r", 7) == 0
+    same = [[tuple(x) for x in s.engine.stream("r").select("reading", "units", "_sys_hlc").orderBy("_sys_hlc").collect()] for s in (collector, aggregator)]
+    assert same[0] == same[1] and len(same[0]) == 5
+    rows = [json.loads(x) for x in collector.engine.stream("r").toJSON().collect()]
+    assert http.post(base, "/streams/r/events", {"rows": rows}) == (200, {"count": 0})
+    assert http.post(base, "/streams/r/events", {"rows": []})[0] == 400
+    assert http.post(base, "/streams/none/events", {"rows": rows})[0] == 404 and http.post(base, "/streams/none/register", None)[0] == 404
+    server.shutdown()
+    server.server_close()
+    assert http.post(base, "/streams/r/register", None) == (503, None)
+
+
+def test_a_commit_is_whole_or_absent(engine, monkeypatch):
+    """Two writers of one version: one wins; a writer that dies midway leaves no file in the log."""
+    log = engine.log("r")
+    state = log.state()
+    log.commit(state, clock=[1, 2])
+    with pytest.raises(CommitConflict):
+        log.commit(state, clock=[3, 4])
+    assert log.state().clock == [1, 2]
+    link = os.link
+    monkeypatch.setattr(os, "link", lambda *a: (_ for _ in ()).throw(OSError("died")))
+    with pytest.raises(CommitConflict):
+        log.commit(log.state(), clock=[5, 6])
+    monkeypatch.setattr(os, "link", link)
+    assert log.state().clock == [1, 2]
+    log.commit(log.state(), clock=[7, 8])
+    assert log.state().clock == [7, 8]
+
+
+def test_of_forwarded_rows_the_first_of_a_key_stays(engine):
+    engine.execute("INSERT INTO r (reading, units) VALUES (1, 'a')")
+    from pyspark.sql import functions as F
+
+    row = engine.stream("r").withColumn("_sys_hlc", F.lit("0000000000000zz"))
+    rows = row.union(row.withColumn("units", F.lit("b"))).union(row.withColumn("units", F.lit("c"))).coalesce(1)
+    assert engine.receive("r", rows) == 1
+    assert engine.stream("r").where("_sys_hlc = '0000000000000zz'").first()["units"] == "a"
+    with pytest.raises(ConstraintError, match="no forwarded rows"):
+        engine.receive("r", rows.limit(0))
 
 
 def test_command_line(spark):

@@ -1,9 +1,18 @@
-"""HTTP adapter: POST /api/events takes INSERT text, GET /api/admin tells statistics."""
+"""HTTP adapter, both sides.
+
+POST /api/events takes INSERT text, GET /api/admin tells statistics. Between stores,
+POST /streams/{stream}/events takes forwarded rows ({"rows": [...]}) and POST
+/streams/{stream}/register answers with the stream's migration. :func:`post` is the client.
+"""
 
 from __future__ import annotations
 
 import json
+import re
+import urllib.error
+import urllib.request
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 
@@ -21,9 +30,32 @@ def answer(store: EventStore, method: str, path: str, body: str = "") -> tuple[i
         return 200, [[json.loads(r) for r in x.toJSON().collect()] if isinstance(x, DataFrame) else {"count": x} for x in results]
     if (method, path) == ("GET", "/api/admin"):
         return 200, store.all_stream_stats()
+    if method == "POST" and (to := re.fullmatch("/streams/([^/]+)/(events|register)", path)):
+        stream = unquote(to[1])
+        if stream not in store.config.streams:
+            return 404, {"error": f"no stream {stream}"}
+        if to[2] == "register":
+            return 200, {"migration": store.config.streams[stream].migration}
+        try:
+            return 200, {"count": store.receive_rows(stream, json.loads(body)["rows"])}
+        except (LanguageError, ConstraintError, KeyError, ValueError) as e:
+            return 400, {"error": str(e)}
     return 404, {"error": "not found"}
 
 
+def post(url: str, path: str, body: object, timeout: float = 60) -> tuple[int, object]:
+    """Status and JSON body of a POST; 503 where nobody answers."""
+    data = b"" if body is None else json.dumps(body, default=str).encode()
+    request = urllib.request.Request(url.rstrip("/") + path, data, {"Content-Type": "application/json"}, method="POST")
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answered:
+            return answered.status, json.loads(answered.read() or b"null")
+    except urllib.error.HTTPError as e:
+        return e.code, None
+    except OSError:
+        return 503, None
+
+
 def server(store: EventStore, port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
         def _serve(self) -> None:
