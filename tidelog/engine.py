@@ -225,7 +225,8 @@ class Engine:
 
     def _commit_rows(self, schema: StreamSchema, state: State, rows: DataFrame, *, skip: bool, clock: list[int] | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
         log, version = self.log(schema.name), state.version + 1
-        physical = [F.col(core.quoted(f.column.name)).alias(f.physical) for f in schema.fields]
+        # a column that no row gives is null without a type; all segments have the column's
+        physical = [F.col(core.quoted(f.column.name)).cast(spark_type(f.column.type)).alias(f.physical) for f in schema.fields]
         place = F.col(_INDEX) if _INDEX in rows.columns else F.monotonically_increasing_id()
         kept = rows.select(*SYSTEM_NAMES, *physical, "__issue", place.alias(_PLACE))
         segments = state.tables.get("events", [])

@@ -113,6 +113,7 @@ class CreateStream:
     name: str
     columns: tuple[ColumnDef, ...] = ()
     checks: tuple[Check, ...] = ()
+    elements: tuple[ColumnDef | Check, ...] = ()  # columns and checks as they were written
 
 
 @dataclass(frozen=True)
