@@ -81,7 +81,11 @@ def accepted(incoming: DataFrame, stored: DataFrame | None, key: str = HLC, orde
 def conflicts(incoming: DataFrame, stored: DataFrame | None, key: str = HLC) -> DataFrame:
     """Keys that a plain insert must fail on."""
     twice = incoming.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
-    return twice if stored is None else twice.union(incoming.select(key).join(stored.select(key), key, "left_semi"))
+    return twice if stored is None else twice.union(stored_keys(incoming, stored, key))
+
+
+def stored_keys(incoming: DataFrame, stored: DataFrame, key: str = HLC) -> DataFrame:
+    return incoming.select(key).join(stored.select(key), key, "left_semi")
 
 
 def returning(rows: DataFrame, items: Sequence[ast.Returning], schema: StreamSchema) -> DataFrame:

@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import HLC_COUNT, HLC_NODE
+from ..config import Strategy, effective_retention
 from ..engine import Engine
 from ..functions import hlc
 from ..lang import semantics
+from ..lang.errors import ConstraintError
 from ..lang.parser import parse
 from ..operators import core
+from ..sources import cli, http
 from ..sources.paths import new_root
+from ..store import EventStore
 from ..streaming import ingest
 
 P, NODE = 1_700_000_000_000, 7
@@ -392,6 +396,62 @@ def streaming_ingest(spark, sf_dir):
     return e.stream("event_log").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@_q("SELECT event_id, value FROM events")
+def ddl_drop_constraint(spark, sf_dir):
+    """A check that many events violate; once it is dropped, all are taken."""
+    e = engine(spark, "drop")
+    e.ddl("CREATE STREAM c (event_id BIGINT, value DOUBLE PRECISION, CHECK low (value < 10))")
+    rows = events(spark, sf_dir).select("event_id", "value")
+    try:
+        e.append("c", rows, ["event_id"])
+    except ConstraintError:
+        e.ddl("ALTER STREAM c DROP CONSTRAINT low")
+    e.append("c", rows, ["event_id"])
+    return e.stream("c").select("event_id", "value")
+
+
+_CANONICAL = '{"stmt":"create_stream","name":"s","elements":[{"kind":"column","column":{"name":"a","data_type":{"type":"int"},"optional":true,"default":{"expr":"binary_op","op":"add","left":{"expr":"int_literal","text":"1"},"right":{"expr":"int_literal","text":"2"}},"generated":null,"checks":[{"name":"k","expr":{"expr":"binary_op","op":"cmp_gt","left":{"expr":"column_ref","name":"a"},"right":{"expr":"int_literal","text":"0"}}}]}}]}'
+
+
+@_q(f"SELECT CAST(0 AS INTEGER) AS seq, sha256('{_CANONICAL}') AS hash")
+def statement_hashes(spark, sf_dir):
+    e = engine(spark, "hash")
+    e.ddl("CREATE STREAM s (a INT OPTIONAL DEFAULT 1 + 2 CHECK k (a > 0))")
+    return e.migration_history("s")
+
+
+@_q("SELECT event_id, event_type, value FROM events WHERE event_id <= 40")
+def http_events(spark, sf_dir):
+    """INSERT text of the first events through the HTTP adapter, its answer and the stream."""
+    first = events(spark, sf_dir).where("event_id <= 40").orderBy("event_id").collect()
+    stream = "CREATE STREAM h (event_id BIGINT, event_type VARCHAR(16), value DOUBLE PRECISION)"
+    store = EventStore.start(spark, {"nodeId": NODE, "databaseUrl": new_root(spark, "http"), "aggregators": {}, "streams": {"h": {"migration": stream, "aggregators": []}}})
+    rows = ", ".join(f"({r['event_id']}, '{r['event_type']}', {r['value']})" for r in first)
+    status, told = http.answer(store, "POST", "/api/events", f"INSERT INTO h (event_id, event_type, value) VALUES {rows}")
+    if (status, told) != (200, [{"count": len(first)}]):
+        raise RuntimeError(f"{status}: {told}")
+    return store.engine.stream("h").select("event_id", "event_type", "value")
+
+
+@_q("SELECT event_id FROM events WHERE event_id <= 20")
+def stdin_lines(spark, sf_dir):
+    """The same from lines of text; a broken line is told and passed over."""
+    e = engine(spark, "lines")
+    first = [r["event_id"] for r in events(spark, sf_dir).where("event_id <= 20").select("event_id").collect()]
+    half = len(first) // 2
+    lines = ["CREATE STREAM l (event_id BIGINT)", "INSERT nonsense", *(f"INSERT INTO l (event_id) VALUES {', '.join(f'({i})' for i in part)}" for part in (first[:half], first[half:]) if part)]
+    said = list(cli.run(e, lines))
+    if not said[1].startswith("error"):
+        raise RuntimeError(said[1])
+    return e.stream("l").select("event_id")
+
+
+@_q("SELECT 'timeLimited' AS kind, CAST(3 AS INTEGER) AS threshold, CAST(90000 AS BIGINT) AS interval_ms")
+def retention_effective(spark, sf_dir):
+    rule = effective_retention([Strategy("removedAfterAggregation", threshold=3), Strategy("timeLimited", threshold=1, interval_ms=60_000), Strategy("timeLimited", threshold=2, interval_ms=90_000)])
+    return spark.createDataFrame([(rule.kind, rule.threshold, rule.interval_ms)], "kind string, threshold int, interval_ms bigint")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declare a stream, insert all events, fan out, and count what waits for each aggregator."""
     return core.pending_counts(_logged(spark, sf_dir).pending("event_log"))

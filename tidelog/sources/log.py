@@ -119,11 +119,15 @@ class StreamLog:
 
     # ------------------------------------------------------------ segments
     def write(self, df: DataFrame, version: int, schema: int, key: str | None = None) -> Segment:
+        return self.write_told(df, version, schema, key)[0]
+
+    def write_told(self, df: DataFrame, version: int, schema: int, key: str | None = None, tell: str | None = None) -> tuple[Segment, object]:
+        """A new segment, and the least value of a column of it; one pass tells rows, bounds and that."""
         path = f"{self.root}/segments/{uuid.uuid4().hex}"
         df.withColumn(VERSION, F.lit(version)).write.parquet(path)
         written = self.spark.read.parquet(path)
-        stats = written.agg(F.count("*"), *([F.min(key), F.max(key)] if key else [])).first()
-        return Segment(path, version, schema, stats[0], *(stats[1:] if key else ()))
+        stats = written.agg(F.count("*"), *([F.min(key), F.max(key)] if key else []), *([F.min(tell)] if tell else [])).first()
+        return Segment(path, version, schema, stats[0], *(stats[1:3] if key else ())), stats[-1] if tell else None
 
     def table(self, segments: list[Segment], evolve) -> DataFrame | None:
         """Union of segments; evolve(frame, schema number) gives each the current columns."""
