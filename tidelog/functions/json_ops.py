@@ -65,27 +65,37 @@ def _members(text: str, at: int) -> dict | list | None:
     return out
 
 
+def _spelled(document: str, steps: list[Step]) -> str:
+    """The text of a member that is there."""
+    at, end = _after(document, 0), len(document.rstrip(_SPACES))
+    for s in steps:
+        members = _members(document, at)
+        at, end = members[int(s)] if isinstance(members, list) else members[s]
+    return document[at:end]
+
+
 def walk(document: str | None, steps: list[Step], as_text: bool) -> str | None:
     """What PostgreSQL's member operators give, in the document's own spelling; a number-like step indexes an array."""
     if document is None or any(s is None for s in steps):
         return None
-    json.loads(document)  # a broken document is an error, wherever it is broken
-    at = _after(document, 0)
-    end = len(document.rstrip(_SPACES))
+    value = json.loads(document)
     for s in steps:
-        members = _members(document, at)
-        if isinstance(members, list):
-            if isinstance(s, str) and not s.lstrip("-").isdigit() or not -len(members) <= int(s) < len(members):
+        if isinstance(value, list):
+            if isinstance(s, str) and not s.lstrip("-").isdigit() or not -len(value) <= int(s) < len(value):
                 return None
-            at, end = members[int(s)]
-        elif isinstance(members, dict) and isinstance(s, str) and s in members:
-            at, end = members[s]
+            value = value[int(s)]
+        elif isinstance(value, dict) and isinstance(s, str) and s in value:
+            value = value[s]
         else:
             return None
-    own = document[at:end]
-    if as_text and own[0] in 'n"':
-        return json.loads(own)
-    return own
+    # values with one spelling need no search for it
+    if value is None:
+        return None if as_text else "null"
+    if isinstance(value, str):
+        return value if as_text else f'"{value}"' if "\\" not in document else _spelled(document, steps)
+    if isinstance(value, int) and value:
+        return "true" if value is True else str(value)
+    return _spelled(document, steps)
 
 
 def get(document: Column, steps: list[Step], *, as_text: bool) -> Column:
