@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import random
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidelog.llm import suffix_dedup
+from tidelog.llm.common import session_conf
 from tidelog.llm.suffix import Block
 from tidelog.llm.suffix_dedup import _sums, gram_hashes, runs
 
@@ -141,3 +145,48 @@ def test_a_text_longer_than_a_scan(documents):
 def test_awkward_rows_and_an_empty_table(documents):
     assert suffix_dedup.dedup(documents(AWKWARD)).count() == len(AWKWARD)
     assert suffix_dedup.dedup(documents(AWKWARD).limit(0)).count() == 0
+
+
+def shuffled(spark) -> int:
+    """Shuffle bytes that the session has written so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    time.sleep(0.2)  # the status store takes figures every 100 ms
+    spark.range(1).count()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_texts_are_shuffled_once(spark, documents):
+    """Keys that fit a block, keys that do not and the result each join the texts; only the first dealing moves them."""
+    draw = random.Random(5)
+    noise = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=n))
+    passages = [noise(900) for _ in range(4)]
+    rows = [(i, noise(20_000) + (passages[i % 4] + noise(30) if i % 3 else "")) for i in range(120)]
+    size = sum(len(t) for _, t in rows)
+    docs = documents(rows).localCheckpoint()
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        before = shuffled(spark)
+        got = {r["id"]: [(s["from"], s["to"]) for s in r["spans"]] for r in suffix_dedup.dedup(docs, block_bytes=1500).collect()}
+        moved = shuffled(spark) - before
+    assert sorted(got) == list(range(120))
+    for i, spans in got.items():  # the noise around a passage may agree on a byte or two more
+        assert len(spans) == (1 if i % 3 else 0) and all(19_990 < a <= 20_000 and 20_900 <= b < 20_910 for a, b in spans)
+    assert size < moved < 4 * size, moved / size  # about twice the size are runs and fragments
+
+
+def test_dealt_tables_join_as_they_lie(spark):
+    """Null ids, ids that read like one another and equal rows stay apart or together as their values are."""
+    rows = [(None, "a"), ("", "a"), ("-", "a"), ("+", "a"), ("+", "b"), ("x", "b"), ("x", "b")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    df = df.select(suffix_dedup._node(df["id"], suffix_dedup.row_key(df["text"])).alias("node"), "id", "text")
+    dealt = suffix_dedup.materialize_dealt(df, "dealt", "node")
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, df.collect()))
+    counted = df.groupBy(df["node"].alias("of")).count()
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
+        joined = dealt.join(counted, dealt["node"] == counted["of"]).select("id", "text", "count")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, joined.collect()), key=str) == sorted(((*r, 2 if r == ("x", "b") else 1) for r in rows), key=str)
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+    assert not spark.catalog.listTables("default", "tidelog_*")

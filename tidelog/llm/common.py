@@ -81,6 +81,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def materialize_dealt(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like :func:`materialize`, dealt by the hash of a column into as many files as a shuffle has partitions.
+
+    Joins on the column read it as it lies, without an exchange, so rows as large as
+    whole texts are shuffled once however often they are joined. A join has to compare
+    the plain column with ``==``. Spark knows such tables by name only; the name goes
+    from the catalog as soon as it is resolved, the files stay until they are released.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table_name = f"tidelog_{uuid.uuid4().hex}"
+    parts = min(int(spark.conf.get(f"spark.sql.{k}")) for k in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
+    with session_conf(spark, **{_CLEANUP: "true"}):
+        df.repartition(parts, column).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, column).saveAsTable(table_name)
+    table = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")
+    table._tidelog_path = path
+    return table
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote and that no plan reads any more."""
     for table in tables:

@@ -19,6 +19,9 @@ that agree on their first WINDOW bytes always meet:
    meet at every level.
 5. The marked starts of a fragment go back to all its copies.
 
+The texts are dealt once by their node into a table of the shared folder, and every
+join with them reads it as it lies.
+
 No group, however large, is gathered in one task. The common prefixes also give what
 repeats at shorter lengths, WINDOW bytes or more; :func:`dedup` reports it as n_shared.
 
@@ -36,10 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, row_key
+from .common import materialize, materialize_dealt, release, row_key
 from .suffix import Block
 
 LENGTH = 400
@@ -190,7 +193,7 @@ def _type(df: DataFrame, column: str) -> str:
 def _fragments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(key, digest, copies, asked, body) of the wanted (key, digest, copies, at (node, start), starts), a text read once."""
     listed = wanted.groupBy(F.col("at.node").alias("of")).agg(F.collect_list(F.struct("key", "digest", "copies", F.col("at.start").alias("start"), "starts")).alias("runs"))
-    joined = texts.join(listed, texts["node"].eqNullSafe(listed["of"])).select("body", "runs")
+    joined = texts.join(listed, texts["node"] == listed["of"]).select("body", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,6 +304,12 @@ def repeated_starts(texts: DataFrame, *, window: int = WINDOW, length: int = LEN
     return back.select("node", F.transform("spans", place).alias("spans"))
 
 
+def _node(document: Column, row: Column) -> Column:
+    """The id of a document, which may be null, and the hash of its text in one binary: tables are dealt by plain columns only."""
+    named = F.coalesce(F.concat(F.lit("+"), document.cast("string")), F.lit("-"))
+    return F.concat(F.unhex(F.lpad(F.hex(row), 16, "0")), F.encode(named, "UTF-8"))
+
+
 def _merged(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Byte spans [from, to) that strings of a length cover, their starts being the intervals first to last."""
     order = np.argsort(first, kind="stable")
@@ -313,11 +322,12 @@ def _merged(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int,
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, **options) -> DataFrame:
     """(id, n_bytes, spans, kept, n_shared) of every document: removed byte spans [from, to), the bytes that stay, and how many bytes strings of `window` bytes cover that repeat."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), row_key(text).alias("row")).alias("node"), text.cast("binary").alias("body"))
+    rows = docs.select(_node(F.col(id_col), row_key(text)).alias("node"), F.col(id_col).alias("id"), text.cast("binary").alias("body"))
+    rows = materialize_dealt(rows, "suffix-texts", "node")
     texts = rows.select("node", F.lit(1).cast("long").alias("copies"), F.lit(None).cast("int").alias("asked"), "body")
     marks = repeated_starts(texts, length=length, window=window, grams=grams, **options)
     listed = marks.groupBy(F.col("node").alias("of")).agg(F.flatten(F.collect_list("spans")).alias("marks"))
-    joined = rows.join(listed, rows["node"].eqNullSafe(listed["of"]), "left").select("node.id", "body", "marks")
+    joined = rows.join(listed, rows["node"] == listed["of"], "left").select("id", "body", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
